@@ -6,7 +6,7 @@ tokens, and the (token, group) rows are the matrix. A text is joined to the matr
 overlap with a group's union bounds its overlap with every member, and only groups whose bound qualifies are
 opened. Opened pairs are checked exactly on the full sets of word sequences.
 
-Exact copies are one class from the start: all joins run between classes, never between copies.
+Copies (the same words in the same order) are one class from the start: all joins run between classes, never between copies.
 
 Tokens are windows of ``token_words`` words whose hash lies under a threshold that depends on the text's size
 alone, about ``sample`` of them a text, all of them for short texts. A text and a partner of similarity 0.5 share about ten
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.text import mixed, rolling, shingles, word_hashes
+from lodestone.llm.text import batch_hashes, batch_rolling, mixed, rolling, shingles, word_hashes
 from lodestone.session import materialise
 
 _SKETCH = "kind string, id string, n long, copy long, tokens array<long>"
@@ -36,23 +36,34 @@ _SETS = "kind string, id string, sequences array<long>"
 
 def _sketches(batches, words: int, least_words: int, token_words: int, sample: int):
     for batch in batches:
-        kind, ids, n, copy, tokens = [], [], [], [], []
-        for k, i, text in zip(*(batch.column(c).to_pylist() for c in ("kind", "id", "text"))):
-            hashes = word_hashes(text)
-            if len(hashes) < max(least_words, words):
-                continue
-            whole = shingles(hashes, words)
-            windows = shingles(hashes, min(token_words, len(hashes))) ^ np.uint64(xxhash.xxh3_64_intdigest(k))
-            windows = mixed(windows)
-            top = min(1.0, sample / len(windows))
-            windows = windows[windows <= np.uint64(min(2**64 - 1, int(top * 2**64)))]
-            kind.append(k)
-            ids.append(i)
-            n.append(len(whole))
-            copy.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(whole.tobytes())).view(np.int64)))
-            tokens.append(windows.view(np.int64))
+        hashes, places = batch_hashes(batch.column("text").to_pylist())
+        sizes = np.diff(places)
+        # texts too short for a token window are one window
+        values, text = batch_rolling(hashes, places, token_words)
+        for t in np.flatnonzero((sizes >= max(least_words, words)) & (sizes < token_words)):
+            values = np.append(values, rolling(hashes[places[t] : places[t + 1]], int(sizes[t])))
+            text = np.append(text, t)
+        kinds = np.array([xxhash.xxh3_64_intdigest(k) for k in batch.column("kind").to_pylist()], dtype=np.uint64)
+        values = mixed(values ^ kinds[text]) if len(values) else values
+        top = np.minimum(1.0, sample / np.maximum(1, sizes - token_words + 1))
+        limit = np.minimum(top * 2.0**64, 2.0**64 - 2048).astype(np.uint64)
+        limit[top >= 1] = np.uint64(2**64 - 1)
+        keep = (values <= limit[text]) & (sizes[text] >= max(least_words, words))
+        values, text = values[keep], text[keep]
+        order = np.lexsort((values, text))
+        values, text = values[order], text[order]
+        first = np.ones(len(values), bool)
+        first[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
+        values, text = values[first], text[first]
+        rows = np.flatnonzero(sizes >= max(least_words, words))
+        ends = np.zeros(len(rows) + 1, dtype=np.int32)
+        ends[1:] = np.searchsorted(text, rows, side="right")
+        copy = [xxhash.xxh3_64_intdigest(hashes[places[r] : places[r + 1]].tobytes()) for r in rows]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(kind, pa.string()), pa.array(ids, pa.string()), pa.array(n, pa.int64()), pa.array(copy, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
+            [
+                batch.column("kind").take(pa.array(rows)), batch.column("id").take(pa.array(rows)), pa.array(sizes[rows], pa.int64()),
+                pa.array(np.array(copy, dtype=np.uint64).view(np.int64), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(values.view(np.int64))),
+            ],
             ["kind", "id", "n", "copy", "tokens"],
         )
 
@@ -81,7 +92,7 @@ def near_duplicates(
     texts of fewer than ``least_words`` words belong to nothing; a null id is no key and is left out.
 
     Returns three tables:
-    ``members`` (kind, id, copy, n): the class of equal sequence sets of each key;
+    ``members`` (kind, id, copy, n): the class of copies of each key, and its number of words;
     ``classes`` (cid, kind, copy, n, id): each class with its least id;
     ``links`` (a, b, similarity): each pair of different classes (cids) at or over ``similarity``, once.
     """
@@ -104,12 +115,12 @@ def near_duplicates(
     counts = tokens.groupBy("token").count().where("count > 1")
     shared = materialise(tokens.join(counts, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("by")), "shared")
     rare = (
-        classes.select("cid", "n", F.size("tokens").alias("all"))
+        classes.select("cid", F.size("tokens").alias("all"))
         .join(shared, "cid")
         .withColumn("need", F.greatest(F.lit(1), F.round(F.col("all") * least_share).cast("int")))
         .where("size(by) >= need")
         .select(
-            "cid", "n", "need",
+            "cid", "need",
             F.expr("transform(by, x -> x.token)").alias("tokens"),
             F.expr("transform(slice(by, 1, size(by) - need + 1), x -> x.token)").alias("rare"),
         )
@@ -135,17 +146,16 @@ def near_duplicates(
     )
     opened = (
         met.join(unions, "gid")
-        .join(grouped.select("cid", "n", "need", "tokens", F.col("gid").alias("own")), "cid")
+        .join(grouped.select("cid", "need", "tokens", F.col("gid").alias("own")), "cid")
         .where("size(array_intersect(tokens, union)) >= need")
-        .select("gid", F.col("own"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("need").alias("needa"))
+        .select("gid", F.col("own"), F.col("cid").alias("a"), F.col("tokens").alias("ta"), F.col("need").alias("needa"))
     )
-    inside = grouped.select("gid", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.col("need").alias("needb"))
+    inside = grouped.select("gid", F.col("cid").alias("b"), F.col("tokens").alias("tb"), F.col("need").alias("needb"))
     pairs = materialise(
         opened.join(inside, "gid")
         .where("(own < gid or a < b) and a != b")
-        .where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
         .where("size(array_intersect(ta, tb)) >= least(needa, needb)")
-        .select("a", "na", "b", "nb"),
+        .select("a", "b"),
         "pairs",
     )
 
@@ -165,7 +175,7 @@ def near_duplicates(
         pairs.join(sets.select(F.col("cid").alias("a"), F.col("sequences").alias("sa")), "a")
         .join(sets.select(F.col("cid").alias("b"), F.col("sequences").alias("sb")), "b")
         .withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        .withColumn("similarity", F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
+        .withColumn("similarity", F.col("both") / (F.size("sa") + F.size("sb") - F.col("both")))
         .where(F.col("similarity") >= similarity)
         .select("a", "b", "similarity")
     )

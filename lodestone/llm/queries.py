@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import near_dup
+from lodestone.llm import leakage, mixing, near_dup, splitting
 from lodestone.tables import table
 
 
@@ -35,8 +35,45 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = splitting.split_long(pages_and_chunks(spark, folder), limit=550, overlap=80)
+    return pieces.withColumnRenamed("kind", "record_kind").withColumnRenamed("id", "record_id")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that the splitter had to cut: those with a second piece."""
+    return p3_pieces(spark, folder).where("piece = 2").select("record_kind", "record_id")
+
+
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "sufficiency_benchmark").select(F.col("id").alias("item_id"), "context", F.col("original_question").alias("question"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked(leakage.tilings(table(spark, folder, "documents"), _items(spark, folder), run=13), run=13)
+
+
+def p6_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least half of an item in tiles of five words or more, also in another order."""
+    return leakage.coverage(leakage.tilings(table(spark, folder, "documents"), _items(spark, folder), run=8, least=5), threshold=0.5)
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
+    "p6_found": p6_found,
+    "p6_coverage": p6_coverage,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
 }
 SQL: dict[str, str] = {}

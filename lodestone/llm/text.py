@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -30,6 +31,22 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, WORD.findall((text or "").lower())), dtype=np.uint64)
 
 
+def batch_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in one array, and the place where each text begins (and the end of the last)."""
+    found = [WORD.findall((t or "").lower()) for t in texts]
+    places = np.zeros(len(found) + 1, dtype=np.int64)
+    np.cumsum([len(f) for f in found], out=places[1:])
+    return np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(found)), dtype=np.uint64, count=places[-1]), places
+
+
+def batch_rolling(words: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the windows of ``length`` words that lie within one text, and the number of the text of each."""
+    values = rolling(words, length)
+    text = np.repeat(np.arange(len(places) - 1), np.diff(places))[: len(values)]
+    whole = np.arange(len(values)) + length <= places[text + 1]
+    return values[whole], text[whole]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values, so that any range of them is a fair sample."""
     with np.errstate(over="ignore"):
