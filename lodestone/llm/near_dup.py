@@ -9,9 +9,9 @@ opened. Opened pairs are checked exactly on the full sets of word sequences.
 Copies (the same words in the same order) are one class from the start: all joins run between classes, never between copies.
 
 Tokens are windows of ``token_words`` words whose hash lies under a threshold that depends on the text's size
-alone, about ``sample`` of them a text, all of them for short texts. A text and a partner of similarity 0.5 share about ten
-of twenty, and ``least_share`` of them is asked for. The exact check follows, so sampling can only lose a pair, never add one;
-recall against brute force is tested.
+alone, about ``sample`` of them a text, all of them for short texts. A text and a partner of similarity 0.5 share about
+eight of twenty; ``least_share`` of them is asked for of a group, ``pair_share`` of a pair. The exact check follows, so
+sampling can only lose a pair, never add one; recall against brute force is tested.
 
 Hot tokens: counts are pre-aggregated, a text leaves out its most frequent tokens as far as the
 required overlap allows (the rest still meet every qualifying partner), and groups over ``group_rows`` are
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.text import batch_hashes, batch_rolling, mixed, rolling, shingles, word_hashes
+from lodestone.llm.text import batch_hashes, batch_rolling, mixed, rolling, word_hashes
 from lodestone.session import materialise
 
 _SKETCH = "kind string, id string, n long, copy long, tokens array<long>"
-_SETS = "kind string, id string, sequences array<long>"
+_SETS = "kind string, id string, sequences array<int>"
 
 
 def _sketches(batches, words: int, least_words: int, token_words: int, sample: int):
@@ -70,10 +70,11 @@ def _sketches(batches, words: int, least_words: int, token_words: int, sample: i
 
 def _sets(batches, words: int):
     for batch in batches:
-        sets = [shingles(word_hashes(t), words).view(np.int64) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("kind"), batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["kind", "id", "sequences"]
-        )
+        # 32 bits of each sequence are enough within a pair
+        sets = [np.unique(rolling(word_hashes(t), words).astype(np.uint32)).view(np.int32) for t in batch.column("text").to_pylist()]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("id"), pa.ListArray.from_arrays(ends, flat)], ["kind", "id", "sequences"])
 
 
 def near_duplicates(
@@ -84,6 +85,7 @@ def near_duplicates(
     token_words: int = 6,
     sample: int = 20,
     least_share: float = 0.15,
+    pair_share: float = 0.15,
     group_rows: int = 64,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Texts of like content within each ``kind``.
@@ -120,7 +122,7 @@ def near_duplicates(
         .withColumn("need", F.greatest(F.lit(1), F.round(F.col("all") * least_share).cast("int")))
         .where("size(by) >= need")
         .select(
-            "cid", "need",
+            "cid", "need", "all",
             F.expr("transform(by, x -> x.token)").alias("tokens"),
             F.expr("transform(slice(by, 1, size(by) - need + 1), x -> x.token)").alias("rare"),
         )
@@ -146,15 +148,15 @@ def near_duplicates(
     )
     opened = (
         met.join(unions, "gid")
-        .join(grouped.select("cid", "need", "tokens", F.col("gid").alias("own")), "cid")
+        .join(grouped.select("cid", "need", "all", "tokens", F.col("gid").alias("own")), "cid")
         .where("size(array_intersect(tokens, union)) >= need")
-        .select("gid", F.col("own"), F.col("cid").alias("a"), F.col("tokens").alias("ta"), F.col("need").alias("needa"))
+        .select("gid", F.col("own"), F.col("cid").alias("a"), F.col("tokens").alias("ta"), F.col("all").alias("alla"))
     )
-    inside = grouped.select("gid", F.col("cid").alias("b"), F.col("tokens").alias("tb"), F.col("need").alias("needb"))
+    inside = grouped.select("gid", F.col("cid").alias("b"), F.col("tokens").alias("tb"), F.col("all").alias("allb"))
     pairs = materialise(
         opened.join(inside, "gid")
         .where("(own < gid or a < b) and a != b")
-        .where("size(array_intersect(ta, tb)) >= least(needa, needb)")
+        .where(F.size(F.array_intersect("ta", "tb")) >= F.greatest(F.lit(1), F.round(pair_share * F.greatest("alla", "allb")).cast("int")))
         .select("a", "b"),
         "pairs",
     )
