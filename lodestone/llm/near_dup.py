@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm.text import batch_hashes, batch_rolling, mixed, rolling, word_hashes
-from lodestone.session import materialise
+from lodestone.session import materialise, prefer_hash_joins
 
 _SKETCH = "kind string, id string, n long, copy long, tokens array<long>"
 _SETS = "kind string, id string, sequences array<int>"
@@ -98,6 +98,7 @@ def near_duplicates(
     ``classes`` (cid, kind, copy, n, id): each class with its least id;
     ``links`` (a, b, similarity): each pair of different classes (cids) at or over ``similarity``, once.
     """
+    prefer_hash_joins(texts.sparkSession)
     source = texts.select("kind", F.col("id").cast("string").alias("id"), "text").where(
         F.col("id").isNotNull() & F.col("kind").isNotNull() & F.col("text").isNotNull()
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import leakage, mixing, near_dup, splitting
+from lodestone.llm import leakage, mixing, near_dup, splitting, subjects
 from lodestone.tables import table
 
 
@@ -66,6 +66,21 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
+def _areas(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subject_areas(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), table(spark, folder, "subject_areas"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.prevailing(_areas(spark, folder)).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and sentences of each area in the corpus."""
+    found = subjects.prevailing(_areas(spark, folder)).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("hits").alias("sentences"))
+    zero = F.lit(0).cast("long")
+    return table(spark, folder, "subject_areas").select("subject").distinct().join(found, "subject", "left").select("subject", F.coalesce("documents", zero).alias("documents"), F.coalesce("sentences", zero).alias("sentences"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
@@ -75,5 +90,7 @@ QUERIES = {
     "p6_coverage": p6_coverage,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
 }
 SQL: dict[str, str] = {}
