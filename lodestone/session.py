@@ -42,6 +42,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def prefer_hash_joins(spark: SparkSession) -> None:
+    """Let adaptive execution hash instead of sort wherever every partition of the built side proves to be small."""
+    if spark.conf.get("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold") in ("0", "0b"):
+        spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "32m")
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; counts no further than one row beyond that."""
     return df.limit(max_rows + 1).count() <= max_rows
