@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import leakage, mixing, near_dup, splitting, subjects
+from lodestone.llm import leakage, mixing, near_dup, scans, splitting, subjects
 from lodestone.tables import table
 
 
@@ -16,6 +16,14 @@ def pages_and_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return pages.unionByName(chunks)
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.noise(table(spark, folder, "document_pages"))
+
+
+def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.paragraphs(table(spark, folder, "document_pages"))
+
+
 def _near(spark: SparkSession, folder: str):
     return near_dup.near_duplicates(pages_and_chunks(spark, folder), words=3, similarity=0.5, least_words=20)
 
@@ -82,6 +90,8 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_paragraphs": p1_paragraphs,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p3_found": p3_found,
