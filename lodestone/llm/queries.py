@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import leakage, mixing, near_dup, scans, splitting, subjects
+from lodestone.llm import answers, leakage, mixing, near_dup, scans, splitting, subjects
 from lodestone.tables import table
 
 
@@ -53,6 +53,29 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_pieces(spark, folder).where("piece = 2").select("record_kind", "record_id")
 
 
+def _answer_defects(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "per_question_comparison").dropDuplicates(["question_id"])
+    sides = [("b0_answer", "b1_answer", "e1_answer"), ("e1_answer", "b1_answer", "b0_answer")]
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("answer"), F.concat_ws(" ", *rest).alias("others")) for f, *rest in sides])).alias("x")
+    asked = rows.select(F.col("question_id").alias("id"), "question", (F.col("expected_label") == "sufficient").alias("answerable"), each)
+    asked = asked.select("id", "x.field", "question", "x.answer", "x.others", "answerable")
+    declined = F.coalesce(F.col("b1_status") != "answered", F.lit(False)) & (F.col("expected_label") != "sufficient")
+    whole = rows.select(F.col("question_id").alias("id"), "question", F.col("b1_answer").alias("answer"), F.concat_ws(" ", "b0_answer", "e1_answer").alias("others"), declined.alias("declined"))
+    return answers.defects(asked, whole)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _answer_defects(spark, folder).where("defect is not null").select(F.col("id").alias("question_id"), F.col("field").alias("answer_field"), "defect")
+
+
+def p5_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """How many clauses of each field carry each tag, and how many answers each defect."""
+    found = _answer_defects(spark, folder)
+    tags = found.select(F.col("field").alias("answer_field"), F.lit("clause").alias("counted"), F.explode("tags").alias("name"))
+    pairs = found.where("defect is not null").select(F.col("field").alias("answer_field"), F.lit("answer").alias("counted"), F.col("defect").alias("name"))
+    return tags.unionByName(pairs).groupBy("answer_field", "counted", "name").agg(F.count("*").alias("number"))
+
+
 def _items(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "sufficiency_benchmark").select(F.col("id").alias("item_id"), "context", F.col("original_question").alias("question"))
 
@@ -96,6 +119,8 @@ QUERIES = {
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p5_found": p5_found,
+    "p5_tags": p5_tags,
     "p6_found": p6_found,
     "p6_coverage": p6_coverage,
     "p7_mix": p7_mix,
