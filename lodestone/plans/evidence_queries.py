@@ -10,6 +10,7 @@ from lodestone.operators import answering, judging, planning, retrieval
 from lodestone.plans import sql as S
 from lodestone.plans.retrieval_queries import ASKED, FACTS, asked, questions
 from lodestone.plans.text_queries import chunks
+from lodestone.session import materialise
 from lodestone.tables import table
 
 
@@ -176,7 +177,7 @@ def context_sufficiency(spark: SparkSession, folder: str) -> DataFrame:
 def _recovered(spark: SparkSession, folder: str, k: int = 6) -> DataFrame:
     """One more pass for the questions that are not covered, with what they miss."""
     q, c = questions(spark, folder), chunks(spark, folder)
-    first = retrieval.bm25(q, c, k)
+    first = materialise(retrieval.bm25(q, c, k), "first")
     facts, found = _context_facts(spark, folder, answering.evidence(first, c, q))
     missing = facts.join(found.select("qid", "fact_no").distinct(), ["qid", "fact_no"], "left_anti")
     missing = missing.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fact_no", "description"))), lambda x: x["description"]), " ").alias("missing"))
