@@ -14,8 +14,8 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from lodestone.operators.running import total_before
 from lodestone.session import materialise
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -60,17 +60,6 @@ def _bits(rows: int, rows_each: int = 50_000) -> int:
     return max(0, math.ceil(math.log2(max(1, rows / rows_each))))
 
 
-def _before(rows: DataFrame, keys: list[str], order: list[str], value: str, bucket: str) -> DataFrame:
-    """``rows`` with ``before``: the sum of ``value`` over the rows before it within ``keys``. Rows are bucketed so that bucket
-    follows ``order``; only bucket sums are summed across a whole key, so that no key is gathered in one task."""
-    sums = rows.groupBy(*keys, bucket).agg(F.sum(value).alias("_sum"))
-    ahead = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    within = rows.withColumn("_own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return within.join(sums, [*keys, bucket]).withColumn("before", F.col("_base") + F.col("_own")).drop("_base", "_own")
-
-
 def mix(documents: DataFrame, targets: DataFrame, block: int = 1024, total_tokens: int | None = None, seed: int = 7, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """The mix and the shares it reaches.
 
@@ -108,7 +97,7 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = 1024, total_token
         F.col("id").alias("slot"), F.element_at(F.array(*[F.lit(n) for n in names] or [F.lit("")]), pick + 1).alias("source"),
         F.floor(F.col("id") / 65_536).alias("bucket"), F.lit(1).cast("long").alias("one"),
     )
-    schedule = _before(schedule, ["source"], ["slot"], "one", "bucket").select("slot", "source", F.col("before").alias("block"))
+    schedule = total_before(schedule, ["source"], ["slot"], "one", "bucket").select("slot", "source", F.col("before").alias("block"))
 
     # the records of each pass, shuffled, end to end
     parts = [(s, sums[s][0], min(r, -(-int(total * w + 3 * block) // sums[s][0])), math.ceil(total * w / block) + 3) for s, w, r in usable]
@@ -121,7 +110,7 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = 1024, total_token
         .withColumn("order", F.xxhash64(F.lit(seed), "pass", "doc_id"))
         .withColumn("bucket", F.shiftright("order", 63 - bits) if bits else F.lit(0).cast("long"))
     )
-    laid = _before(uses, ["source", "pass"], ["order", "doc_id"], "tokens", "bucket")
+    laid = total_before(uses, ["source", "pass"], ["order", "doc_id"], "tokens", "bucket")
     place = F.col("pass") * F.col("all") + F.col("before")
     laid = laid.withColumn("block", F.floor(place / block)).withColumn("offset", place % block).where("block < blocks")
     mixed = schedule.join(laid, ["source", "block"]).select("slot", "offset", "doc_id", "source", F.col("pass") , "tokens")

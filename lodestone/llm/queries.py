@@ -128,4 +128,19 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_composition": p8_composition,
 }
-SQL: dict[str, str] = {}
+_TEXTS = "t AS (SELECT 'page' AS record_kind, CAST(page_id AS VARCHAR) AS id, any_value(text) AS text FROM document_pages GROUP BY page_id UNION ALL SELECT 'chunk', chunk_id, any_value(text) FROM chunks GROUP BY chunk_id)"
+_WORDS = r"regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{N}}]+')"
+
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH {_TEXTS}, w AS (SELECT record_kind, id, {_WORDS.format(x='text')} AS w FROM t),
+        s AS (SELECT DISTINCT record_kind, id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS g FROM w WHERE len(w) >= 20),
+        n AS (SELECT record_kind, id, count(*) AS n FROM s GROUP BY ALL),
+        b AS (SELECT x.record_kind, x.id AS id_a, y.id AS id_b, count(*) AS b FROM s x JOIN s y ON x.record_kind = y.record_kind AND x.g = y.g AND x.id < y.id GROUP BY ALL)
+        SELECT b.record_kind, id_a, id_b FROM b JOIN n x ON x.record_kind = b.record_kind AND x.id = id_a JOIN n y ON y.record_kind = b.record_kind AND y.id = id_b WHERE 2 * b >= x.n + y.n - b""",
+    "p3_found": rf"WITH {_TEXTS} SELECT record_kind, id AS record_id FROM t WHERE len(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\p{{Z}}]')) > 550",
+    "p6_found": f"""WITH i AS (SELECT id AS item_id, {_WORDS.format(x='context')} AS c, {_WORDS.format(x='original_question')} AS q FROM sufficiency_benchmark),
+        k AS (SELECT item_id, 13 AS n, unnest(list_transform(range(1, len(c) - 11), lambda j: array_to_string(c[j : j + 12], ' '))) AS g FROM i UNION ALL SELECT item_id, len(q), array_to_string(q, ' ') FROM i WHERE len(q) > 0),
+        d AS (SELECT doc_id, {_WORDS.format(x='text')} AS w FROM documents), l AS (SELECT DISTINCT n FROM k),
+        v AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda j: array_to_string(w[j : j + n - 1], ' '))) AS g FROM d, l WHERE len(w) >= n)
+        SELECT DISTINCT doc_id, item_id FROM v JOIN k USING (n, g)""",
+}
