@@ -360,8 +360,8 @@ def defects(answers: DataFrame, references: DataFrame, training_answers: int = T
     empty answers are told.
     """
     spark = answers.sparkSession
-    answers = answers.where("id is not null").dropDuplicates(["id", "field"])
-    references = materialise(references.where("id is not null and question is not null and answer is not null").dropDuplicates(["id"]), "references")
+    answers = answers.select("id", "field", "question", "answer", "others", "answerable").where("id is not null and field is not null").dropDuplicates(["id", "field"])
+    references = materialise(references.select("id", "question", "answer", "others", "declined").where("id is not null and question is not null and answer is not null").dropDuplicates(["id"]), "references")
     keys = references.select("question", "answer").mapInArrow(_reference_keys, "key long")
     counts = materialise(keys.groupBy("key").count(), "counts")
     sample = references.orderBy(F.xxhash64("id"), "id").limit(training_answers).collect()  # of bounded size
