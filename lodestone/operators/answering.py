@@ -11,7 +11,7 @@ from lodestone.functions import text as T
 
 def evidence(ranked: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """qid, question, rank, chunk_id, document_id, text."""
-    return ranked.select("qid", "chunk_id", "rank").join(chunks.select("chunk_id", "document_id", "text"), "chunk_id").join(questions, "qid")
+    return ranked.select("qid", "chunk_id", "rank").join(chunks.select("chunk_id", "document_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")
 
 
 def in_order(*columns: str):

@@ -56,7 +56,7 @@ def routes(facts: DataFrame, corpora: DataFrame, with_id: bool = True, most: int
     All that share a token; where none does, all corpora (the best one only, where ``most`` is given). ``corpora``: id, description;
     a catalogue of at most some thousand rows, joined on tokens.
     """
-    keys = [c for c in facts.columns if c != "description"]
+    keys = [c for c in ("qid", "fact_no") if c in facts.columns]
     text = F.concat_ws(" ", "id", "description") if with_id else F.col("description")
     tokens = corpora.select("id", F.explode(F.array_distinct(T.ascii_tokens(text))).alias("t"))
     asked = facts.select(*keys, F.array_distinct(T.ascii_tokens(F.col("description"))).alias("q"))

@@ -38,6 +38,7 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
 
     ``chunks``: chunk_id (once each), text. Questions that share no term with any chunk have no row; null texts are empty.
     """
+    questions, chunks = questions.select("qid", "question"), chunks.select("chunk_id", "text")
     # each distinct wording is scored once
     wordings = questions.groupBy("question").agg(F.min("qid").alias("first"))
     query = wordings.select("first", F.explode(T.index_tokens(F.col("question"))).alias("term")).groupBy("first", "term").agg(F.count("*").alias("qtf"))
@@ -141,6 +142,7 @@ def lexical(queries: DataFrame, documents: DataFrame, stemmed: bool = True, rati
     tokens (or their stems) in the document, as a share with ``ratio``; with ``phrase``, two more where the whole query stands
     in the text. Ties go by corpus and document. Queries without tokens and documents without a common token have no row.
     """
+    queries, documents = queries.select("qid", "query", "corpora"), documents.select("doc_id", "corpus_id", "text")
     cut = T.stems if stemmed else (lambda x: F.array_distinct(T.ascii_tokens(x)))
     wordings = queries.groupBy("query", F.array_sort("corpora").alias("corpora")).agg(F.min("qid").alias("first"))
     terms = wordings.select("first", "corpora", "query", cut(F.col("query")).alias("terms")).where("size(terms) > 0")
