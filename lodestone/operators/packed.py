@@ -38,6 +38,12 @@ def _unescaped(text: str) -> str:
     return _ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if len(m[1]) > 1 else _PLAIN.get(m[1], m[1]), text)
 
 
+def _joined(parts: list[str]) -> str:
+    """The text of unescaped parts, with pairs of surrogates made one character and lone ones replaced."""
+    text = "".join(parts)
+    return text if not re.search("[\ud800-\udfff]", text) else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def _bare(field: str) -> str:
     """The field without the outer escaping and brackets of its notation, either of which may have lost an end."""
     text = field.strip().strip("﻿​").strip()
@@ -69,7 +75,7 @@ def _quoted(text: str, at: int) -> tuple[int, str] | None:
                 continue
             rest = text[i + 1 :].lstrip(" ")[:1]
             if rest in ("", ",", *STRONG) or text[i + 1 : i + 4].startswith(" / ") or close != "'" and close != "’":
-                return i + 1, "".join(out)
+                return i + 1, _joined(out)
             out.append(c)
             i += 1
         else:
