@@ -86,7 +86,7 @@ def _sums(values: np.ndarray, index: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(index, weights=values[:, k], minlength=size) for k in range(values.shape[1])], axis=1)
 
 
-def _gradients(batches, models, trust: float):
+def _gradients(batches, models, trust: np.ndarray):
     """Sum of the gradients over the sentences of a partition."""
     model, teacher = models.value
     total, seen, loss = None, 0, 0.0
@@ -98,7 +98,7 @@ def _gradients(batches, models, trust: float):
             if teacher is not None:
                 belief = _forward(teacher, data)[1]
                 best = (belief * targets).max(axis=1, keepdims=True)
-                targets = np.where((targets > 0) & (belief >= 0.6 * best) & (best >= trust), 1.0, 0.0)
+                targets = np.where((targets > 0) & (belief >= 0.6 * best) & (belief >= trust), 1.0, 0.0)
             means, p, sizes, counts = _forward(model, data)
             error = (p - targets).astype(np.float32)
             back = (error @ model["output"].T) / counts
@@ -113,10 +113,15 @@ def _gradients(batches, models, trust: float):
         yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([seen]), pa.array([loss])], ["gradient", "seen", "loss"])
 
 
-def train(labelled: DataFrame, subjects: list[str], steps: tuple[int, int] = (40, 60), rate: float = 0.1, decay: float = 1e-5, trust: float = 0.5, partitions: int = 4, seed: int = 3) -> dict:
+def train(labelled: DataFrame, subjects: list[str], steps: tuple[int, int] = (40, 60), rate: float = 0.1, decay: float = 1e-5, partitions: int = 4, seed: int = 3) -> dict:
     """The model from ``labelled`` (text, labels array<string>). No labelled sentences give the untrained model."""
     spark = labelled.sparkSession
+    labelled = materialise(labelled, "labelled")
     packed = materialise(labelled.repartition(partitions).mapInArrow(partial(_packed, subjects=subjects), "arrays binary"), "sentences")
+    # a sentence speaks for a label where the teacher believes so clearly more than of just any sentence under it
+    given = {r[0]: r[1] for r in labelled.select(F.explode("labels").alias("label")).groupBy("label").count().collect()}  # a row a subject
+    total = max(1, labelled.count())
+    trust = 0.5 + 0.5 * np.array([given.get(s, 0) / total for s in subjects])
     rng, n = np.random.default_rng(seed), len(subjects)
     model = {
         "embedding": rng.normal(0, 0.3, (2 * BUCKETS, DIMENSIONS)).astype(np.float32),
