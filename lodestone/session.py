@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +26,36 @@ def local_session(app: str = "lodestone", cores: str = "*", partitions: int = 8)
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of every executor, once an application, so that it need not be installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, f"{root.name}/{file.relative_to(root)}")
+    # only the driver reads this file; executors fetch it from the driver
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
+    path.write_bytes(packed.getvalue())
+    context.addPyFile(str(path))
+    _SHIPPED.add(context.applicationId)
+
+
+def shipped(query):
+    """A query (spark, folder) that first sends the package to the workers."""
+
+    @wraps(query)
+    def run(spark: SparkSession, folder: str):
+        ship(spark)
+        return query(spark, folder)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only where that is unset (as in tests), an own one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

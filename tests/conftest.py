@@ -8,9 +8,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from lodestone.session import local_session
+    from lodestone.session import local_session, ship
 
     session = local_session("tests", "4", 4)
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     yield session
     session.stop()
