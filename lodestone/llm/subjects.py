@@ -23,7 +23,7 @@ from lodestone.llm.text import WORD
 from lodestone.session import materialise
 
 #: At most so many labelled documents are trained on, chosen by a hash of their id.
-LABELLED_DOCUMENTS = 4_000
+LABELLED_DOCUMENTS = 3_000
 BUCKETS = 1 << 14
 DIMENSIONS = 12
 _END = re.compile(r"(?<=[.!?])[\"'”’)]*\s+|\n+")
