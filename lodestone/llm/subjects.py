@@ -151,51 +151,52 @@ def train(labelled: DataFrame, subjects: list[str], steps: tuple[int, int] = (40
 
 
 class _Logits(dict):
-    """Index of each word seen by this worker, with its part of every area's logit."""
+    """Row of each word seen by this worker in ``rows``: the word's part of every area's logit."""
 
     def __init__(self, model: dict):
         super().__init__()
         self.table = model["embedding"] @ model["output"]
-        self.rows: list[np.ndarray] = []
+        self.rows = np.zeros((1 << 15, self.table.shape[1]))
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-            self.rows = []
-        index = self[word] = len(self.rows)
-        self.rows.append(self.table[features(word)].mean(axis=0))
-        return index
+        row = self[word] = len(self)
+        if row >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[row] = self.table[features(word)].mean(axis=0)
+        return row
 
 
 _KNOWN: dict = {}
 
 
-def _scores(batches, model, name: str, subjects: list[str], belief: float, lead: float):
+def _scores(batches, model, name: str, subjects: list[str], belief: float, lead: float, together: int = 256, most_words: int = 400_000):
     if name not in _KNOWN:
         _KNOWN.clear()
         _KNOWN[name] = _Logits(model.value)
-    words, bias = _KNOWN[name], model.value["bias"]
-    limit = np.log(belief / (1 - belief))
-    for batch in batches:
-        docs, areas, hits, counts = [], [], [], []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            found = sentences(text)
-            if not found:
+    bias, limit = model.value["bias"], np.log(belief / (1 - belief))
+    names = np.array(subjects, dtype=object)
+    for whole in batches:
+        for at in range(0, whole.num_rows, together):
+            batch = whole.slice(at, together)
+            if len(_KNOWN[name]) > most_words:  # forget, so that memory stays bounded
+                _KNOWN[name] = _Logits(model.value)
+            words = _KNOWN[name]
+            found = [sentences(t) for t in batch.column("text").to_pylist()]
+            flat = [s for d in found for s in d]
+            if not flat:
                 continue
-            flat = [w for s in found for w in s]
-            index = list(map(words.__getitem__, flat))
-            if max(index) >= len(words.rows):  # forgotten in between
-                index = list(map(words.__getitem__, flat))
-            lengths = np.array([len(s) for s in found])
+            lengths = np.array([len(s) for s in flat])
+            index = np.fromiter((words[w] for s in flat for w in s), np.int64, lengths.sum())
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            logits = np.add.reduceat(np.array([words.rows[i] for i in index]), starts) / lengths[:, None] + bias
-            about = ((logits >= limit) & (logits >= logits.max(axis=1, keepdims=True) - lead)).sum(axis=0)
-            for k in np.flatnonzero(about):
-                docs.append(doc)
-                areas.append(subjects[k])
-                hits.append(int(about[k]))
-                counts.append(len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(areas, pa.string()), pa.array(hits, pa.int32()), pa.array(counts, pa.int32())], ["doc_id", "subject", "hits", "sentences"])
+            logits = np.add.reduceat(words.rows[index], starts) / lengths[:, None] + bias
+            about = (logits >= limit) & (logits >= logits.max(axis=1, keepdims=True) - lead)
+            counts = np.array([len(d) for d in found])
+            hits = np.zeros((len(found), len(names)), np.int32)
+            np.add.at(hits, np.repeat(np.arange(len(found)), counts), about.astype(np.int32))
+            doc, area = np.nonzero(hits)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(doc)), pa.array(names[area].tolist(), pa.string()), pa.array(hits[doc, area]), pa.array(counts[doc].astype(np.int32))], ["doc_id", "subject", "hits", "sentences"]
+            )
 
 
 def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame, belief: float = 0.35, lead: float = 0.7, labelled_documents: int = LABELLED_DOCUMENTS, **training) -> DataFrame:
