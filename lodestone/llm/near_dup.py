@@ -164,16 +164,9 @@ def near_duplicates(
 
     # exact check on the whole sets of those classes that are in some pair
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "kind", "id"), "cid")
-    sets = (
-        source.join(wanted, ["kind", "id"])
-        .dropDuplicates(["kind", "id"])
-        .select("cid", "kind", "id", "text")
-    )
-    sets = materialise(
-        sets.select("kind", F.col("cid").cast("string").alias("id"), "text").mapInArrow(lambda b: _sets(b, words), _SETS)
-        .select(F.col("id").cast("long").alias("cid"), "sequences"),
-        "sets",
-    )
+    # a record delivered twice has its set twice; links are made distinct
+    sets = source.join(wanted, ["kind", "id"]).select("kind", F.col("cid").cast("string").alias("id"), "text")
+    sets = materialise(sets.mapInArrow(lambda b: _sets(b, words), _SETS).select(F.col("id").cast("long").alias("cid"), "sequences"), "sets")
     links = (
         pairs.join(sets.select(F.col("cid").alias("a"), F.col("sequences").alias("sa")), "a")
         .join(sets.select(F.col("cid").alias("b"), F.col("sequences").alias("sb")), "b")
@@ -181,6 +174,7 @@ def near_duplicates(
         .withColumn("similarity", F.col("both") / (F.size("sa") + F.size("sb") - F.col("both")))
         .where(F.col("similarity") >= similarity)
         .select("a", "b", "similarity")
+        .dropDuplicates(["a", "b"])
     )
     return members, classes.drop("tokens"), materialise(links, "links")
 
