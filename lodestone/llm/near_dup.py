@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.text import batch_hashes, batch_rolling, mixed, rolling, word_hashes
+from lodestone.llm.text import batch_hashes, batch_rolling, mixed, rolling, slices, word_hashes
 from lodestone.session import materialise, prefer_hash_joins
 
 _SKETCH = "kind string, id string, n long, copy long, tokens array<long>"
@@ -35,7 +35,7 @@ _SETS = "kind string, id string, sequences array<int>"
 
 
 def _sketches(batches, words: int, least_words: int, token_words: int, sample: int):
-    for batch in batches:
+    for batch in slices(batches):
         hashes, places = batch_hashes(batch.column("text").to_pylist())
         sizes = np.diff(places)
         # texts too short for a token window are one window
@@ -69,7 +69,7 @@ def _sketches(batches, words: int, least_words: int, token_words: int, sample: i
 
 
 def _sets(batches, words: int):
-    for batch in batches:
+    for batch in slices(batches):
         # 32 bits of each sequence are enough within a pair
         sets = [np.unique(rolling(word_hashes(t), words).astype(np.uint32)).view(np.int32) for t in batch.column("text").to_pylist()]
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)

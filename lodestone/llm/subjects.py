@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import WORD
+from lodestone.llm.text import WORD, slices
 from lodestone.session import materialise
 
 #: At most so many labelled documents are trained on, chosen by a hash of their id.
@@ -169,34 +169,32 @@ class _Logits(dict):
 _KNOWN: dict = {}
 
 
-def _scores(batches, model, name: str, subjects: list[str], belief: float, lead: float, together: int = 256, most_words: int = 400_000):
+def _scores(batches, model, name: str, subjects: list[str], belief: float, lead: float, most_words: int = 400_000):
     if name not in _KNOWN:
         _KNOWN.clear()
         _KNOWN[name] = _Logits(model.value)
     bias, limit = model.value["bias"], np.log(belief / (1 - belief))
     names = np.array(subjects, dtype=object)
-    for whole in batches:
-        for at in range(0, whole.num_rows, together):
-            batch = whole.slice(at, together)
-            if len(_KNOWN[name]) > most_words:  # forget, so that memory stays bounded
-                _KNOWN[name] = _Logits(model.value)
-            words = _KNOWN[name]
-            found = [sentences(t) for t in batch.column("text").to_pylist()]
-            flat = [s for d in found for s in d]
-            if not flat:
-                continue
-            lengths = np.array([len(s) for s in flat])
-            index = np.fromiter((words[w] for s in flat for w in s), np.int64, lengths.sum())
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            logits = np.add.reduceat(words.rows[index], starts) / lengths[:, None] + bias
-            about = (logits >= limit) & (logits >= logits.max(axis=1, keepdims=True) - lead)
-            counts = np.array([len(d) for d in found])
-            hits = np.zeros((len(found), len(names)), np.int32)
-            np.add.at(hits, np.repeat(np.arange(len(found)), counts), about.astype(np.int32))
-            doc, area = np.nonzero(hits)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(doc)), pa.array(names[area].tolist(), pa.string()), pa.array(hits[doc, area]), pa.array(counts[doc].astype(np.int32))], ["doc_id", "subject", "hits", "sentences"]
-            )
+    for batch in slices(batches):
+        if len(_KNOWN[name]) > most_words:  # forget, so that memory stays bounded
+            _KNOWN[name] = _Logits(model.value)
+        words = _KNOWN[name]
+        found = [sentences(t) for t in batch.column("text").to_pylist()]
+        flat = [s for d in found for s in d]
+        if not flat:
+            continue
+        lengths = np.array([len(s) for s in flat])
+        index = np.fromiter((words[w] for s in flat for w in s), np.int64, lengths.sum())
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        logits = np.add.reduceat(words.rows[index], starts) / lengths[:, None] + bias
+        about = (logits >= limit) & (logits >= logits.max(axis=1, keepdims=True) - lead)
+        counts = np.array([len(d) for d in found])
+        hits = np.zeros((len(found), len(names)), np.int32)
+        np.add.at(hits, np.repeat(np.arange(len(found)), counts), about.astype(np.int32))
+        doc, area = np.nonzero(hits)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(pa.array(doc)), pa.array(names[area].tolist(), pa.string()), pa.array(hits[doc, area]), pa.array(counts[doc].astype(np.int32))], ["doc_id", "subject", "hits", "sentences"]
+        )
 
 
 def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame, belief: float = 0.35, lead: float = 0.7, labelled_documents: int = LABELLED_DOCUMENTS, **training) -> DataFrame:
