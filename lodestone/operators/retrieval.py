@@ -6,6 +6,9 @@ terms, scores pre-aggregated, and cuts to the best k are windows by question, wh
 
 from __future__ import annotations
 
+import re
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +17,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
 from lodestone.operators import index
+from lodestone.operators.batches import slices
 from lodestone.session import materialise, small_enough
 
 K1, B, RRF = 1.5, 0.75, 60
@@ -21,6 +25,9 @@ K1, B, RRF = 1.5, 0.75, 60
 BROADCAST_ROWS = 500_000
 #: Query vectors compared in one pass.
 BLOCK = 8_192
+#: Up to so many different questions and terms are scored batch by batch, where only each batch's best go on.
+BATCH_QUESTIONS, BATCH_TERMS = 2_048, 8_192
+_TOKEN = re.compile(T.ASCII)
 
 
 def best(rows: DataFrame, k: int, *ties: str, by: str = "qid", score: str = "score") -> DataFrame:
@@ -33,25 +40,64 @@ def _query_side(terms: DataFrame) -> DataFrame:
     return F.broadcast(terms) if small_enough(terms, BROADCAST_ROWS) else terms
 
 
+def _best_of_batches(batches, shared, avgdl: float, k: int):
+    """The ``k`` best chunks of each slice for every question; those of all slices hold the best of all."""
+    place, weights = shared.value  # term -> row, (terms, questions)
+    for batch in slices(batches):
+        keys = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
+        order = np.argsort(keys, kind="stable")
+        tokens = [[t for t in _TOKEN.findall((x or "").lower()) if len(t) > 1] for x in batch.column("text").to_pylist()]
+        tf = np.zeros((len(keys), len(place)))
+        for row, i in enumerate(order.tolist()):
+            at = [place[t] for t in tokens[i] if t in place]
+            np.add.at(tf[row], at, 1)
+        damp = K1 * (1 - B + B * np.array([len(tokens[i]) for i in order]) / avgdl)
+        scores = (tf * (K1 + 1) / (tf + damp[:, None])) @ weights
+        top = np.argsort(-np.round(scores, 9), axis=0, kind="stable")[:k]
+        who, flat = np.tile(np.arange(weights.shape[1]), len(top)), top.ravel()
+        hit = scores[flat, who] > 0
+        who, flat = who[hit], flat[hit]
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(keys[order][flat].tolist(), pa.string()), pa.array(scores[flat, who])], ["query", "chunk_id", "score"])
+
+
 def bm25(questions: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     """qid, chunk_id, score, rank of the ``k`` best chunks; a repeated query token counts each time.
 
     ``chunks``: chunk_id (once each), text. Questions that share no term with any chunk have no row; null texts are empty.
+    A bounded set of questions is scored within each batch of chunks, so that nearly all (question, chunk) pairs, which
+    common words make, never leave their task; a larger one is joined on terms.
     """
+    spark = questions.sparkSession
     questions, chunks = questions.select("qid", "question"), chunks.select("chunk_id", "text")
     # each distinct wording is scored once
     wordings = questions.groupBy("question").agg(F.min("qid").alias("first"))
     query = wordings.select("first", F.explode(T.index_tokens(F.col("question"))).alias("term")).groupBy("first", "term").agg(F.count("*").alias("qtf"))
-    stats = index.term_statistics(chunks)
-    weighted = _query_side(query.join(stats, "term").select("first", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
-    whole = F.broadcast(index.collection(chunks))  # one row
-    sized = chunks.select("chunk_id", T.index_tokens(F.col("text")).alias("terms")).join(whole)
-    damp = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.size("terms") / F.col("avgdl"))
-    postings = sized.select("chunk_id", damp.alias("damp"), F.explode("terms").alias("term"))
-    # only the questions' terms are counted at all
-    postings = postings.join(_query_side(query.select("term").distinct()), "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("damp").alias("damp"))
-    scores = postings.join(weighted, "term").groupBy("first", "chunk_id").agg(F.sum(F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("damp"))).alias("score"))
-    ranked = best(scores, k, "chunk_id", by="first")
+    asked = query.select("term").distinct()
+    if small_enough(asked, BATCH_TERMS) and small_enough(wordings, BATCH_QUESTIONS):
+        n, avgdl = index.collection(chunks).first()
+        df = chunks.select(F.explode(F.array_distinct(T.index_tokens(F.col("text")))).alias("term")).join(F.broadcast(asked), "term").groupBy("term").agg(F.count("*").alias("df"))
+        idf = F.log(1 + (F.lit(n) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+        rows = query.join(df, "term").select("first", "term", (F.col("qtf") * idf).alias("weight")).collect()  # bounded above
+        terms, names = {t: i for i, t in enumerate(sorted({r.term for r in rows}))}, sorted({r["first"] for r in rows})
+        at, weights = {q: i for i, q in enumerate(names)}, np.zeros((len(terms), len(names)))
+        for r in rows:
+            weights[terms[r.term], at[r["first"]]] = r.weight
+        kind = questions.schema["qid"].dataType.simpleString()
+        named = spark.createDataFrame([(i, q) for q, i in at.items()], f"query long, first {kind}")
+        shared = spark.sparkContext.broadcast((terms, weights))
+        found = chunks.mapInArrow(partial(_best_of_batches, shared=shared, avgdl=float(avgdl or 1), k=k), "query long, chunk_id string, score double") if rows else spark.createDataFrame([], "query long, chunk_id string, score double")
+        ranked = best(found, k, "chunk_id", by="query").join(F.broadcast(named), "query").drop("query")
+    else:
+        stats = index.term_statistics(chunks)
+        weighted = _query_side(query.join(stats, "term").select("first", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
+        whole = F.broadcast(index.collection(chunks))  # one row
+        sized = chunks.select("chunk_id", T.index_tokens(F.col("text")).alias("terms")).join(whole)
+        damp = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.size("terms") / F.col("avgdl"))
+        postings = sized.select("chunk_id", damp.alias("damp"), F.explode("terms").alias("term"))
+        # only the questions' terms are counted at all
+        postings = postings.join(_query_side(asked), "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("damp").alias("damp"))
+        scores = postings.join(weighted, "term").groupBy("first", "chunk_id").agg(F.sum(F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("damp"))).alias("score"))
+        ranked = best(scores, k, "chunk_id", by="first")
     return questions.join(wordings, "question").select("qid", "first").join(ranked, "first").select("qid", "chunk_id", "score", "rank")
 
 

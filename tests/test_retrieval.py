@@ -47,11 +47,16 @@ def test_bm25_against_brute_force_with_repeats_and_ties(spark):
     assert [r.chunk_id for r in rows if r.qid == "a"] == ["c3", "c6", "c1"]
 
 
-def test_bm25_without_broadcast_is_the_same(spark, monkeypatch):
-    q = questions(spark, ("a", "river loan"), ("e", "valley of Lomdan"))
-    one = sorted((r.qid, r.chunk_id, round(r.score, 9), r["rank"]) for r in retrieval.bm25(q, chunks(spark)).collect())
+def test_bm25_by_join_and_without_broadcast_is_the_same(spark, monkeypatch):
+    q = questions(spark, ("a", "river loan"), ("e", "valley of Lomdan"), ("n", None))
+    many = chunks(spark).unionByName(spark.range(3_000).select(F.concat(F.lit("x"), F.col("id")).alias("chunk_id"), F.when(F.col("id") % 7 == 0, "a loan by the river").otherwise("no such word").alias("text"), F.lit("").alias("first")))
+    rows = lambda: sorted((r.qid, r.chunk_id, round(r.score, 9), r["rank"]) for r in retrieval.bm25(q, many).collect())
+    one = rows()
+    assert len(one) == 24
+    monkeypatch.setattr(retrieval, "BATCH_TERMS", 0)
+    assert rows() == one
     monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
-    assert one == sorted((r.qid, r.chunk_id, round(r.score, 9), r["rank"]) for r in retrieval.bm25(q, chunks(spark)).collect())
+    assert rows() == one
 
 
 def test_empty_inputs(spark):
