@@ -181,6 +181,38 @@ def hybrid(questions: DataFrame, chunks: DataFrame, first: int = 20, candidates:
     return rerank(fused, questions, chunks, k)
 
 
+def _stem(word: str) -> str:
+    return next((word[: -len(x)] for x in T.SUFFIXES if word.endswith(x) and len(word) > len(x) + 2), word)
+
+
+def _lexical_batches(batches, shared, stemmed: bool, ratio: bool, phrase: bool, k: int):
+    """The ``k`` best documents of each slice for every query."""
+    place, weights, sizes, wordings, corpora, allowed = shared.value
+    for batch in slices(batches):
+        docs, homes, texts = (batch.column(c).to_pylist() for c in ("doc_id", "corpus_id", "text"))
+        order = sorted((i for i in range(len(docs)) if homes[i] in corpora), key=lambda i: (homes[i], docs[i]))
+        if not order:
+            continue
+        held = np.zeros((len(order), len(place)))
+        for row, i in enumerate(order):
+            tokens = set(_TOKEN.findall((texts[i] or "").lower()))
+            held[row, [place[t] for t in ({_stem(t) for t in tokens} if stemmed else tokens) if t in place]] = 1
+        overlap = held @ weights
+        overlap[~allowed[[corpora[homes[i]] for i in order]]] = 0
+        scores = overlap / sizes if ratio else overlap.copy()
+        if phrase:
+            # a text with the whole query has all its tokens but perhaps the outer two
+            for row, q in zip(*np.nonzero((overlap > 0) & (overlap >= sizes - 2))):
+                if wordings[q] in (texts[order[row]] or "").lower():
+                    scores[row, q] += 2
+        top = np.argsort(-np.round(scores, 9), axis=0, kind="stable")[:k]
+        who, flat = np.tile(np.arange(weights.shape[1]), len(top)), top.ravel()
+        hit = overlap[flat, who] > 0
+        who, flat = who[hit], flat[hit]
+        rows = [order[i] for i in flat.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array([homes[i] for i in rows], pa.string()), pa.array([docs[i] for i in rows], pa.int64()), pa.array(scores[flat, who])], ["query", "corpus_id", "doc_id", "score"])
+
+
 def lexical(queries: DataFrame, documents: DataFrame, stemmed: bool = True, ratio: bool = False, phrase: bool = True, k: int = 5) -> DataFrame:
     """qid, corpus_id, doc_id, score, rank of documents in the corpora to which a query is routed.
 
@@ -192,18 +224,33 @@ def lexical(queries: DataFrame, documents: DataFrame, stemmed: bool = True, rati
     cut = T.stems if stemmed else (lambda x: F.array_distinct(T.ascii_tokens(x)))
     wordings = queries.groupBy("query", F.array_sort("corpora").alias("corpora")).agg(F.min("qid").alias("first"))
     terms = wordings.select("first", "corpora", "query", cut(F.col("query")).alias("terms")).where("size(terms) > 0")
-    asked = _query_side(terms.select("first", F.explode("terms").alias("term")))
-    routed = _query_side(terms.select("first", F.size("terms").alias("all"), "query", F.explode("corpora").alias("corpus_id")))
-    found = documents.select("doc_id", "corpus_id", F.explode(cut(F.col("text"))).alias("term")).join(asked, "term").groupBy("first", "doc_id", "corpus_id").agg(F.count("*").alias("overlap"))
-    found = found.join(routed, ["first", "corpus_id"])
-    base = F.col("overlap") / F.col("all") if ratio else F.col("overlap").cast("double")
-    scored = found.select("first", "doc_id", "corpus_id", "query", "all", "overlap", base.alias("score"))
-    if phrase:
-        # a text with the whole query has all its tokens but perhaps the outer two
-        near = scored.where("overlap >= `all` - 2").join(documents.select("doc_id", "text"), "doc_id")
-        near = near.where(F.contains(F.lower("text"), F.lower(F.trim("query")))).select("first", "doc_id", F.lit(2.0).alias("bonus"))
-        scored = scored.join(near, ["first", "doc_id"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0)))
-    ranked = best(scored.select("first", "corpus_id", "doc_id", "score"), k, "corpus_id", "doc_id", by="first")
+    distinct = terms.select(F.explode("terms").alias("term")).distinct()
+    if small_enough(distinct, BATCH_TERMS) and small_enough(terms, BATCH_QUESTIONS):
+        rows = terms.collect()  # bounded above
+        words = {t: i for i, t in enumerate(sorted({t for r in rows for t in r.terms}))}
+        homes = {c: i for i, c in enumerate(sorted({c for r in rows for c in r.corpora}))}
+        weights, allowed = np.zeros((len(words), len(rows))), np.zeros((len(homes), len(rows)), bool)
+        for j, r in enumerate(rows):
+            weights[[words[t] for t in r.terms], j] = 1
+            allowed[[homes[c] for c in r.corpora], j] = True
+        shared = documents.sparkSession.sparkContext.broadcast((words, weights, np.array([float(len(r.terms)) for r in rows]), [(r["query"] or "").strip().lower() for r in rows], homes, allowed))
+        schema = "query long, corpus_id string, doc_id long, score double"
+        found = documents.where("corpus_id is not null").mapInArrow(partial(_lexical_batches, shared=shared, stemmed=stemmed, ratio=ratio, phrase=phrase, k=k), schema) if rows else documents.sparkSession.createDataFrame([], schema)
+        named = documents.sparkSession.createDataFrame([(j, r["first"]) for j, r in enumerate(rows)], f"query long, first {queries.schema['qid'].dataType.simpleString()}")
+        ranked = best(found, k, "corpus_id", "doc_id", by="query").join(F.broadcast(named), "query").drop("query")
+    else:
+        asked = _query_side(terms.select("first", F.explode("terms").alias("term")))
+        routed = _query_side(terms.select("first", F.size("terms").alias("all"), "query", F.explode("corpora").alias("corpus_id")))
+        found = documents.select("doc_id", "corpus_id", F.explode(cut(F.col("text"))).alias("term")).join(asked, "term").groupBy("first", "doc_id", "corpus_id").agg(F.count("*").alias("overlap"))
+        found = found.join(routed, ["first", "corpus_id"])
+        base = F.col("overlap") / F.col("all") if ratio else F.col("overlap").cast("double")
+        scored = found.select("first", "doc_id", "corpus_id", "query", "all", "overlap", base.alias("score"))
+        if phrase:
+            # a text with the whole query has all its tokens but perhaps the outer two
+            near = scored.where("overlap >= `all` - 2").join(documents.select("doc_id", "text"), "doc_id")
+            near = near.where(F.contains(F.lower("text"), F.lower(F.trim("query")))).select("first", "doc_id", F.lit(2.0).alias("bonus"))
+            scored = scored.join(near, ["first", "doc_id"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0)))
+        ranked = best(scored.select("first", "corpus_id", "doc_id", "score"), k, "corpus_id", "doc_id", by="first")
     back = queries.select("qid", "query", F.array_sort("corpora").alias("corpora")).join(wordings, ["query", "corpora"]).select("qid", "first")
     return back.join(ranked, "first").select("qid", "corpus_id", "doc_id", "score", "rank")
 

@@ -95,11 +95,18 @@ def test_rerank_prefers_the_phrase(spark):
     assert [r.chunk_id for r in got] == ["y", "x", "z"] and abs(got[0].score - 5.1) < 1e-9
 
 
-def test_lexical_order_and_routing(spark):
+def test_lexical_order_and_routing(spark, monkeypatch):
     d = spark.createDataFrame([(1, "a", "leads Zen"), (2, "b", "leads Zen"), (3, "b", "nothing"), (4, "a", None)], "doc_id long, corpus_id string, text string")
     q = spark.createDataFrame([("q", "leading zen", ["a", "b"]), ("r", "leads zen", ["b"]), ("s", "", ["a"])], "qid string, query string, corpora array<string>")
     got = sorted((r.qid, r["rank"], r.doc_id, r.score) for r in retrieval.lexical(q, d).collect())
     assert got == [("q", 1, 1, 2.0), ("q", 2, 2, 2.0), ("r", 1, 2, 4.0)]
+    big = d.unionByName(spark.range(100, 5_000).selectExpr("id doc_id", "if(id % 2 = 0, 'a', 'b') corpus_id", "if(id % 9 = 0, 'he leads a zen walk', 'walk') text"))
+    both = []
+    for terms in (10, 0):
+        monkeypatch.setattr(retrieval, "BATCH_TERMS", terms)
+        for options in ({}, {"stemmed": False}, {"ratio": True, "phrase": False}):
+            both.append(sorted((r.qid, r["rank"], r.doc_id, round(r.score, 9)) for r in retrieval.lexical(q, big, **options).collect()))
+    assert both[:3] == both[3:] and len(both[0]) == 10
 
 
 def test_planning(spark):
