@@ -6,9 +6,12 @@ import re
 from itertools import chain
 
 import numpy as np
-import pyarrow.compute as pc
 import xxhash
 
+from lodestone.operators.batches import slices
+
+__all__ = ["WORD", "batch_hashes", "batch_rolling", "mixed", "rolling", "shingles", "slices", "word_hashes"]
+
 #: A word is a maximal run of letters or digits, compared in lower case.
 WORD = re.compile(r"[^\W_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -80,17 +83,3 @@ def rolling(words: np.ndarray, length: int) -> np.ndarray:
 def shingles(words: np.ndarray, length: int) -> np.ndarray:
     """Distinct window values, in ascending order."""
     return np.unique(rolling(words, length))
-
-
-def slices(batches, column: str = "text", rows: int = 2_048, size: int = 4_000_000):
-    """Batches cut so that each has at most ``rows`` rows and, but for single longer texts, ``size`` bytes of text."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        at = total = 0
-        for i, n in enumerate(sizes.tolist()):
-            if i > at and (i - at >= rows or total + n > size):
-                yield batch.slice(at, i - at)
-                at, total = i, 0
-            total += n
-        if at < batch.num_rows:
-            yield batch.slice(at)
