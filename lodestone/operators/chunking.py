@@ -23,9 +23,11 @@ def word_chunks(pages: DataFrame, size: int = 550, overlap: int = 80, bucket_pag
     n, step = F.size("w"), size - overlap
     # the first window, and each one that the window before did not already bring to the end
     starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda s: (s == 0) | (s - step + size < n)))
-    windows = one.withColumn("count", F.size(starts)).select("page_id", "document_id", "page", "text", "w", "count", F.posexplode(starts).alias("i", "start"))
-    body = F.when(F.size("w") <= size, F.col("text")).otherwise(F.array_join(F.slice("w", F.col("start") + 1, size), " "))
-    windows = windows.select("page_id", "document_id", "page", "i", F.least(F.lit(size), F.size("w") - F.col("start")).alias("words"), body.alias("text"))
+    # the windows are made before they are rows, so that no row carries the whole page
+    body = F.when(n <= size, F.array(F.struct(n.alias("words"), F.col("text").alias("text")))).otherwise(
+        F.transform(starts, lambda s: F.struct(F.least(F.lit(size), n - s).alias("words"), F.array_join(F.slice("w", s + 1, F.lit(size)), " ").alias("text")))
+    )
+    windows = one.select("page_id", "document_id", "page", F.posexplode(body).alias("i", "x")).select("page_id", "document_id", "page", "i", "x.words", "x.text")
     windows = windows.withColumn("head", T.heading(F.col("text")))
     order = Window.partitionBy("page_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     windows = windows.withColumn("section", F.coalesce(F.last("head", ignorenulls=True).over(order), F.col("document_id")))
@@ -47,5 +49,6 @@ def character_chunks(documents: DataFrame, size: int = 800, overlap: int = 120)
     flat = documents.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", T.squashed(F.col("text")).alias("t")).where("t != ''")
     n, step = F.length("t"), size - overlap
     starts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda s: (s == 0) | (s - step + size < n))
-    out = flat.select("doc_id", "t", F.posexplode(starts).alias("i", "s")).select("doc_id", (F.col("i") + 1).cast("long").alias("chunk_number"), F.trim(F.substring("t", F.col("s") + 1, F.lit(size))).alias("text"))
+    parts = F.transform(starts, lambda s: F.trim(F.substring("t", s + 1, F.lit(size))))
+    out = flat.select("doc_id", F.posexplode(parts).alias("i", "text")).select("doc_id", (F.col("i") + 1).cast("long").alias("chunk_number"), "text")
     return out.where("text != ''")
