@@ -255,6 +255,34 @@ def lexical(queries: DataFrame, documents: DataFrame, stemmed: bool = True, rati
     return back.join(ranked, "first").select("qid", "corpus_id", "doc_id", "score", "rank")
 
 
+def _span(text: str, query: str, terms: set[str]) -> tuple[int, int] | None:
+    """Where the whole query stands in a text, else from the first to the last token that shares a stem with it."""
+    at = text.lower().find(query) if query else -1
+    if at >= 0:
+        return at, at + len(query)
+    places = [m.span() for m in _TOKEN.finditer(text.lower()) if _stem(m.group()) in terms]
+    return (places[0][0], places[-1][1]) if places else None
+
+
+def _spans(batches):
+    for batch in slices(batches):
+        start, end = [], []
+        for text, query in zip(batch.column("text").to_pylist(), batch.column("query").to_pylist()):
+            found = _span(text or "", (query or "").strip().lower(), {_stem(t) for t in _TOKEN.findall((query or "").lower())})
+            start.append(found[0] if found else None)
+            end.append(found[1] if found else None)
+        yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("doc_id"), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["qid", "doc_id", "start", "end"])
+
+
+def spans(hits: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
+    """qid, doc_id, start, end (characters, end excluded) of what each hit matched; null where nothing does.
+
+    ``hits``: qid string, doc_id long; ``queries``: qid, query; ``documents``: doc_id, text. Hits of unknown queries or documents are left out.
+    """
+    rows = hits.select("qid", "doc_id").join(queries.select("qid", "query"), "qid").join(documents.select("doc_id", "text"), "doc_id")
+    return rows.select("qid", "doc_id", "query", "text").mapInArrow(_spans, "qid string, doc_id long, start long, end long")
+
+
 def relevance(ranked: DataFrame, targets: DataFrame) -> DataFrame:
     """One row: queries, recall_5, recall_10 and mrr of ``ranked`` (qid, item, rank) against ``targets`` (qid, item).
 

@@ -199,6 +199,37 @@ def iterative_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     return _recovered(spark, folder).where("place <= 8").select("qid", "place", "chunk_id")
 
 
+def baseline_b0(spark: SparkSession, folder: str) -> DataFrame:
+    """The plain system: the best chunk as it is, whatever the question."""
+    return _evidence(spark, folder, 1).select("qid", "chunk_id", F.md5(F.coalesce("text", F.lit(""))).alias("answer_md5"))
+
+
+def _answered(judged: DataFrame, rows: DataFrame) -> DataFrame:
+    """Grounded answers of the questions whose evidence suffices; the others abstain."""
+    said = answering.grounded(rows.join(judged.where("sufficient").select("qid"), "qid", "left_semi")).select("qid", "answer", "confidence")
+    return judged.select("qid").join(said, "qid", "left").select("qid", F.when(F.col("answer").isNotNull(), "answered").otherwise("abstained").alias("status"), F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+def _judged(facts: DataFrame, found: DataFrame, share: float = 0.5) -> DataFrame:
+    """qid, sufficient: whether the evidence holds at least ``share`` of a question's facts."""
+    held = found.select("qid", "fact_no").distinct().groupBy("qid").agg(F.count("*").alias("covered"))
+    rows = facts.groupBy("qid").agg(F.count("*").alias("facts")).join(held, "qid", "left")
+    return rows.select("qid", (F.coalesce("covered", F.lit(0)) >= share * F.col("facts")).alias("sufficient"))
+
+
+def baseline_b1(spark: SparkSession, folder: str) -> DataFrame:
+    """The judging system: answers where the best chunks hold half of the question's facts."""
+    rows = materialise(_evidence(spark, folder), "evidence")
+    return _answered(_judged(*_context_facts(spark, folder, rows)), rows)
+
+
+def baseline_e1(spark: SparkSession, folder: str) -> DataFrame:
+    """The recovering system: judged again after one more pass."""
+    merged = _recovered(spark, folder).select("qid", "chunk_id", F.col("place").alias("rank"))
+    rows = materialise(answering.evidence(merged, chunks(spark, folder), questions(spark, folder)), "evidence")
+    return _answered(_judged(*_context_facts(spark, folder, rows)), rows)
+
+
 def dedupe_hits(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of like text within a corpus: the first id, and how many there are."""
     rows = table(spark, folder, "documents").dropDuplicates(["doc_id"])
@@ -207,7 +238,7 @@ def dedupe_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 _ALL = (
     fact_coverage, missing_facts, sufficiency_judge, evidence_judge, coverage_judge, conflict_detection, unsupported_claims, guard_citations, feedback_queries, feedback_fact_match, reformulate_query, verify_claims,
-    final_decision, abstention_policy, audit_trail, evidence_context, best_sentence, grounded_answers, draft_claims, extractive_answer, synthesize_answer, context_sufficiency, adaptive_recovery, recovery_merge, iterative_retrieval, dedupe_hits,
+    final_decision, abstention_policy, audit_trail, evidence_context, best_sentence, grounded_answers, draft_claims, extractive_answer, synthesize_answer, context_sufficiency, adaptive_recovery, recovery_merge, iterative_retrieval, baseline_b0, baseline_b1, baseline_e1, dedupe_hits,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -284,7 +315,25 @@ _RECOVERED = f"""{_ranked(6)}, {_CONTEXT_FACTS},
     r_b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY pass, rank) AS n FROM r_a) WHERE n = 1),
     r AS (SELECT qid, chunk_id, CAST(pass AS BIGINT) AS pass, rank, row_number() OVER (PARTITION BY qid ORDER BY pass, rank) AS place FROM r_b)"""
 
+def _grounded(rows: str) -> str:
+    """CTEs from ``rows`` (qid, question, rank, chunk_id, text) to g: grounded answers."""
+    return f"""{_sentences(_STEMS(S.without('question', T.ANSWER_STOPS))).replace('FROM e)', f'FROM {rows})')},
+    g_a AS (SELECT *, row_number() OVER (PARTITION BY qid, sentence ORDER BY rank, pos) AS n FROM z WHERE overlap > 0 AND len(regexp_split_to_array(sentence, '\\s+')) >= 3),
+    g_b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, rank, pos) AS place FROM g_a WHERE n = 1) WHERE place <= 3),
+    g_c AS (SELECT qid, place, sentence, chunk_id FROM g_b UNION ALL SELECT qid, 1, sentence, chunk_id FROM z WHERE rank = 1 AND pos = 0 AND qid NOT IN (SELECT qid FROM g_b)),
+    g AS (SELECT qid, string_agg(sentence, ' ' ORDER BY place) AS answer, round(least(0.98::DOUBLE, greatest(0.5::DOUBLE, 0.9::DOUBLE + count(*) * 0.02::DOUBLE)), 6) AS confidence FROM g_c GROUP BY qid)"""
+
+
+def _judged_answers(rows: str) -> str:
+    return f"""held AS (SELECT DISTINCT cf.qid, cf.fact_no FROM cf JOIN {rows} x USING (qid) WHERE contains(lower(coalesce(x.text, '')), cf.description)),
+    ju AS (SELECT cf.qid, count(*) FILTER (EXISTS (SELECT 1 FROM held WHERE held.qid = cf.qid AND held.fact_no = cf.fact_no)) >= 0.5::DOUBLE * count(*) AS sufficient FROM cf GROUP BY cf.qid), {_grounded(rows)}
+    SELECT ju.qid, CASE WHEN sufficient AND answer IS NOT NULL THEN 'answered' ELSE 'abstained' END AS status, CASE WHEN sufficient THEN coalesce(answer, '') ELSE '' END AS answer, CASE WHEN sufficient THEN coalesce(confidence, 0) ELSE 0 END AS confidence FROM ju LEFT JOIN g USING (qid)"""
+
+
 SQL = {
+    "baseline_b0": f"WITH {_ranked(1)} SELECT qid, chunk_id, md5(coalesce(text, '')) AS answer_md5 FROM e",
+    "baseline_b1": f"WITH {_ranked(6)}, {_CONTEXT_FACTS}, {_judged_answers('e')}",
+    "baseline_e1": f"WITH {_RECOVERED}, e1 AS (SELECT r.qid, q.question, r.place AS rank, r.chunk_id, u.text FROM r JOIN u USING (chunk_id) JOIN q USING (qid)), {_judged_answers('e1')}",
     "fact_coverage": f"WITH {_BASE}, {_HELD} SELECT f.qid, f.fact_no, coalesce((SELECT string_agg(DISTINCT sid, ',' ORDER BY sid) FROM h WHERE h.qid = f.qid AND h.fact_no = f.fact_no), '') AS sids FROM facts f",
     "missing_facts": f"WITH {_BASE}, {_HELD} SELECT f.qid, f.fact_no, f.description FROM facts f WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.qid = f.qid AND h.fact_no = f.fact_no)",
     "sufficiency_judge": f"WITH {_ASSESSED} SELECT qid, facts, covered, conflicts, unsupported, round(score, 6) AS score, label FROM j",

@@ -112,6 +112,12 @@ def keyword_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(retrieval.lexical(_routed(spark, folder), _documents(spark, folder), stemmed=False, ratio=True, phrase=False, k=3), "corpus_id", "doc_id")
 
 
+def lexical_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each hit of the lexical search matches its question."""
+    queries, documents = _routed(spark, folder), _documents(spark, folder)
+    return retrieval.spans(retrieval.lexical(queries, documents), queries, documents)
+
+
 def masked_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     """Term search without the file that holds most chunks; its statistics are those of the other files."""
     c = chunks(spark, folder)
@@ -138,7 +144,7 @@ def retrieval_ablation(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-_ALL = (bm25_search, dense_search, rrf_fusion, hybrid_search, rerank, vector_knn, plan_facts, keyword_plan, route_corpora, rewrite_queries, plan_with_feedback, lexical_retrieval, inmemory_retrieval, keyword_retrieval, masked_retrieval, retrieval_ablation)
+_ALL = (bm25_search, dense_search, rrf_fusion, hybrid_search, rerank, vector_knn, plan_facts, keyword_plan, route_corpora, rewrite_queries, plan_with_feedback, lexical_retrieval, inmemory_retrieval, keyword_retrieval, lexical_spans, masked_retrieval, retrieval_ablation)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _SEARCH = f"{S.INDEX}, {S.QUESTIONS}"

@@ -124,3 +124,13 @@ def test_relevance(spark):
     ranked = spark.createDataFrame([("a", "x", 1), ("a", "y", 7)], "qid string, item string, rank long")
     truth = spark.createDataFrame([("a", "y"), ("b", "z")], "qid string, item string")
     assert retrieval.relevance(ranked, truth).first().asDict() == {"queries": 2, "recall_5": 0.0, "recall_10": 0.5, "mrr": 0.0714}
+
+
+def test_spans(spark):
+    text = "Once Nina leads the Zen office"
+    assert retrieval._span(text, "leads the zen", set()) == (10, 23)
+    assert text[slice(*retrieval._span(text, "who is nina of zen", {"nina", "zen"}))] == "Nina leads the Zen"
+    d = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    q = spark.createDataFrame([("a", "Nina, Zen"), ("b", "absent")], "qid string, query string")
+    hits = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), ("c", 1)], "qid string, doc_id long")
+    assert sorted(map(str, retrieval.spans(hits, q, d).collect())) == sorted(map(str, spark.createDataFrame([("a", 1, 5, 23), ("b", 1, None, None), ("a", 2, None, None)], "qid string, doc_id long, start long, end long").collect()))
