@@ -33,14 +33,9 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Groups over pages and chunks together, as a page and a chunk may hold the same text."""
-    both = pages_and_chunks(spark, folder).select(F.lit("text").alias("kind"), F.concat_ws(":", "kind", "id").alias("id"), "text")
-    found = near_dup.groups_of_records(*near_dup.near_duplicates(both, words=3, similarity=0.5, least_words=20))
-    return found.select(
-        F.substring_index("id", ":", 1).alias("record_kind"),
-        F.expr("substr(id, instr(id, ':') + 1)").alias("record_id"),
-        "group_id", "copies", "links",
-    )
+    """One row a record with its group, among pages and among chunks as in p2_found."""
+    found = near_dup.groups_of_records(*_near(spark, folder))
+    return found.select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"), "group_id", "copies", "links")
 
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
