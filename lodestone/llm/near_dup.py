@@ -25,7 +25,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.llm.text import batch_hashes, batch_rolling, mixed, rolling, slices, word_hashes
 from lodestone.session import materialise, prefer_hash_joins

@@ -10,7 +10,7 @@ import xxhash
 
 from lodestone.operators.batches import slices
 
-__all__ = ["WORD", "batch_hashes", "batch_rolling", "mixed", "rolling", "shingles", "slices", "word_hashes"]
+__all__ = ["WORD", "batch_hashes", "batch_rolling", "mixed", "rolling", "slices", "word_hashes"]
 
 #: A word is a maximal run of letters or digits, compared in lower case.
 WORD = re.compile(r"[^\W_]+")
@@ -78,8 +78,3 @@ def rolling(words: np.ndarray, length: int) -> np.ndarray:
                 power = power[:-span] * base + power[span:]
                 span, base = span * 2, base * base
     return mixed(out)
-
-
-def shingles(words: np.ndarray, length: int) -> np.ndarray:
-    """Distinct window values, in ascending order."""
-    return np.unique(rolling(words, length))
