@@ -29,7 +29,7 @@ BUCKETS = 512
 #: Frequent words by language.
 COMMON = {
     "en": "the a an of in on at to for from by with and or but not no is are was were be been has have had do does did it its this that these who whom which what when where why how many much as than there their they he she his her i me my we you can could would will may about since also some any all more most only".split(),
-    "de": "der die das den dem des ein eine einen einem einer und oder aber nicht kein keine ist sind war waren wird wurde wurden hat haben hatte es sie er ihr sein seine von vom zu zum zur in im an am auf aus bei mit nach für über seit wer was wo wann wie viele welche welcher dass so dazu nichts gibt".split(),
+    "de": "der die das den dem des ein eine einen einem einer und oder aber nicht kein keine ist sind war waren wird wurde wurden hat haben hatte es sie er ihr sein seine von vom zu zum zur in im an am auf aus bei mit nach für über seit wer was wo wann wie viele welche welcher dass so dazu nichts gibt her hin stellt leitet macht liegt heißt arbeiten arbeitet gehört kommt steht findet".split(),
     "fr": "le la les un une des du de d l et ou mais ne pas plus est sont était a ont il elle ils elles ce cette ces qui que quoi quel quelle où quand comment combien dans en sur par pour avec sans à au aux se s y depuis n c sa son ses".split(),
     "es": "el la los las un una unos de del y o pero no es son fue era está están ha han hay lo se su sus que quién qué cuál dónde cuándo cómo cuántos cuántas en por para con sin a al desde esto esta este como más".split(),
     "it": "il lo la i gli le un uno una di del della dei da dal dalla e o ma non è sono era ha hanno si su nel nella che chi cosa quale dove quando come quanti con per a al alla questo questa ne".split(),
@@ -145,7 +145,7 @@ def _ask(batches):
 
 _FLAGS = (
     "bias last ellipsis stop comma function whole begins cut_word unknown_last row_prefix in_row novel0 novel1 novel2 novel3 overlap covers asks asking "
-    "same_language other_language no_language strange strange_half names_only short refusing1 refusing2 refusing3 whole_not_begun script"
+    "same_language other_language no_language strange strange_half names_only short refusing1 refusing2 refusing3 whole_not_begun script strange_many"
 ).split()
 WIDTH = len(_FLAGS) + len(_REFUSING) + BUCKETS
 
@@ -175,7 +175,7 @@ def feature_rows(question: str, answer: str, others: str, counts: dict[int, int]
             "novel0": not novel, "novel1": len(novel) == 1, "novel2": len(novel) == 2, "novel3": len(novel) > 2,
             "overlap": sum(w in asked for w in words) / len(words), "covers": len(asked & set(words)) / max(1, len(asked)), "asks": end == "?", "asking": any(w in _ASKING for w in words),
             "same_language": own != "" and own == lang, "other_language": own != "" and own != lang, "no_language": own == "",
-            "strange": len(strange) / max(1, len(plain)), "strange_half": len(strange) * 2 > len(plain) > 1, "names_only": not plain, "short": len(words) < 4,
+            "strange": len(strange) / max(1, len(plain)), "strange_half": len(strange) * 2 > len(plain) > 1, "strange_many": len(strange) > 1 and len(strange) * 2 > len(plain) and own != lang, "names_only": not plain, "short": len(words) < 4,
             "refusing1": refusing == 1, "refusing2": refusing == 2, "refusing3": refusing > 2, "whole_not_begun": whole and not begins,
         }
         for name, value in flags.items():
@@ -236,6 +236,7 @@ def examples(rows: list[dict], seed: int = 5) -> list[dict]:
             hedge = str(rng.choice(HEDGES)) + a
             add(q, hedge, o, *["refusal"] * (len(clauses(hedge)) - n), *["answer"] * n)
         name = " ".join(w for w in q.rstrip(" ?").split()[1:] if w[:1].isupper()) or "them"
+        name = re.sub(r"['’]s$", "", name)
         refusal = str(rng.choice(BEFORE)) + str(rng.choice(REFUSALS)) + str(rng.choice(AFTER))
         refusal = refusal.replace("{name}", name)
         add(q, refusal[:1].upper() + refusal[1:], o, *["refusal"] * len(clauses(refusal)))
@@ -244,8 +245,8 @@ def examples(rows: list[dict], seed: int = 5) -> list[dict]:
             group = others[int(rng.integers(len(others)))]
             s = rows[group[int(rng.integers(len(group)))]]
             if language(s["answer"]) == langs[group[0]] and not s["declined"]:
-                add(q, s["answer"], o, *["foreign"] * len(clauses(s["answer"])))
-                add(s["question"], a, s["others"] or "", *["foreign" if language(c) else "answer" for c in clauses(a)])
+                add(q, s["answer"], o, *["foreign" if _plain_words(c) else "answer" for c in clauses(s["answer"])])
+                add(s["question"], a, s["others"] or "", *["foreign" if _plain_words(c) else "answer" for c in clauses(a)])
     return out
 
 
@@ -380,7 +381,8 @@ def defects(answers: DataFrame, references: DataFrame, training_answers: int = T
         model = train_field(features, [r.tags for r in got])
     else:
         model = {"emit": np.zeros((WIDTH, len(TAGS))), "step": np.zeros((len(TAGS),) * 2), "first": np.zeros(len(TAGS))}
-    # training has too few scripts to learn this from
-    model["emit"][_FLAGS.index("script"), TAGS.index("foreign")] += 8
+    # training has too few scripts and languages to learn these from
+    for flag, weight in (("script", 8), ("strange_many", 4), ("other_language", 3), ("same_language", -3)):
+        model["emit"][_FLAGS.index(flag), TAGS.index("foreign")] += weight
     shared = spark.sparkContext.broadcast(model)
     return _with_counts(answers, counts).select("id", "field", "question", "answer", "others", "answerable", "counts").mapInArrow(partial(_tagged, model=shared), "id string, field string, defect string, tags array<string>")
