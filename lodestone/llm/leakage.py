@@ -17,24 +17,26 @@ from pyspark.sql import functions as F
 from lodestone.llm.text import rolling, slices, word_hashes
 from lodestone.session import materialise, small_enough
 
-#: Seeds up to this number (16 bytes each) go to every task; more are joined by a shuffle, with the same result.
+#: Seeds up to this number go to every task; more are joined by a shuffle, with the same result.
 BROADCAST_SEEDS = 2_000_000
-_SEEDS = "item_id string, part string, length int, seed long"
+_SEEDS = "item_id string, part string, length int, seed long, at int, words int"
 _HITS = "doc_id long, length int, seed long"
 _TILES = "doc_id long, item_id string, part string, words int, longest int, covered int, tiles int"
 
 
-def _item_seeds(batches, run: int):
+def _item_seeds(batches, run: int, whole: bool):
+    """Seeds of the passages with their places; of a question the first window only where it is looked for as a ``whole``."""
     for batch in batches:
         rows = []
         for item, part, text in zip(*(batch.column(c).to_pylist() for c in ("item_id", "part", "text"))):
             words = word_hashes(text)
-            if part == "context":
-                rows += [(item, part, run, s) for s in set(rolling(words, run).view(np.int64).tolist())]
-            elif len(words):
-                length = min(run, len(words))
-                rows.append((item, part, length, rolling(words[:length], length).view(np.int64).tolist()[0]))
-        yield pa.RecordBatch.from_pylist([dict(zip(("item_id", "part", "length", "seed"), r)) for r in rows], pa.schema([("item_id", pa.string()), ("part", pa.string()), ("length", pa.int32()), ("seed", pa.int64())]))
+            length = run if part == "context" else min(run, len(words))
+            if length:
+                values = rolling(words[:length] if whole and part == "question" else words, length).view(np.int64).tolist()
+                rows += [(item, part, length, seed, at, len(words)) for at, seed in enumerate(values)]
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["item_id", "part", "length", "seed", "at", "words"])
 
 
 def _document_seeds(batches, lengths: list[int], known):
@@ -112,26 +114,34 @@ def _tiled(batches, least: int):
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "part", "words", "longest", "covered", "tiles"])
 
 
-def tilings(documents: DataFrame, items: DataFrame, run: int = 13, least: int | None = None) -> DataFrame:
+def tilings(documents: DataFrame, items: DataFrame, run: int = 13, least: int | None = None, reach: float = 0.0) -> DataFrame:
     """Tilings of each document with each passage with which it shares a seed.
 
     ``documents``: doc_id long, text. ``items``: item_id string, context, question. A seed is ``run`` words of a
-    context, or the beginning of a question (the whole of a short one). Tiles have ``least`` words (``run`` where not
-    given). Null or empty texts share nothing; ids that come twice count once.
+    context, or the beginning of a question (the whole of a short one), as ``leaked`` asks for. Tiles have ``least`` words
+    (``run`` where not given); where it is given, every window of so many words of contexts and questions is a seed, so
+    that each pair with a tile is found. Pairs whose seeds lie on less than the share ``reach`` of a passage are not tiled:
+    tiles consist of seeds, so they can't cover more. Null or empty texts share nothing; ids that come twice count once.
     """
-    least = least or run
+    whole = least is None
+    run, least = (run, run) if whole else (min(run, least), least)
     passages = items.select("item_id", F.explode(F.create_map(F.lit("context"), F.coalesce("context", F.lit("")), F.lit("question"), F.coalesce("question", F.lit("")))).alias("part", "text")).dropDuplicates(["item_id", "part"])
-    seeds = materialise(passages.mapInArrow(partial(_item_seeds, run=run), _SEEDS), "seeds")
+    seeds = materialise(passages.mapInArrow(partial(_item_seeds, run=run, whole=whole), _SEEDS), "seeds")
     documents = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     lengths = sorted(r[0] for r in seeds.select("length").distinct().collect())  # at most ``run`` values
     distinct = seeds.select("length", "seed").distinct()
     known = None
-    if small := small_enough(distinct, BROADCAST_SEEDS):
+    if small := small_enough(seeds, BROADCAST_SEEDS):
         local = distinct.toPandas()
         known = documents.sparkSession.sparkContext.broadcast({n: np.sort(local.seed.to_numpy()[local.length == n]) for n in lengths})
     hits = documents.mapInArrow(partial(_document_seeds, lengths=lengths, known=known), _HITS)
     joined = hits.join(F.broadcast(seeds) if small else seeds, ["length", "seed"])
-    pairs = materialise(joined.select("doc_id", "item_id", "part").distinct(), "pairs")
+    pairs = joined.select("doc_id", "item_id", "part").distinct()
+    if reach > 0:
+        places = joined.groupBy("doc_id", "item_id", "part", "length", "words").agg(F.collect_set("at").alias("places"))
+        held = F.size(F.array_distinct(F.flatten(F.transform("places", lambda at: F.sequence(at, at + F.col("length") - 1)))))
+        pairs = places.where(held / F.col("words") >= reach).select("doc_id", "item_id", "part")
+    pairs = materialise(pairs, "pairs")
     texts = documents.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = pairs.join(texts, "doc_id").join(passages.withColumnRenamed("text", "passage"), ["item_id", "part"])
     return both.mapInArrow(partial(_tiled, least=least), _TILES)

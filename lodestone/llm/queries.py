@@ -81,7 +81,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold at least half of an item in tiles of five words or more, also in another order."""
-    return leakage.coverage(leakage.tilings(table(spark, folder, "documents"), _items(spark, folder), run=8, least=5), threshold=0.5)
+    return leakage.coverage(leakage.tilings(table(spark, folder, "documents"), _items(spark, folder), least=5, reach=0.5), threshold=0.5)
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -84,3 +84,47 @@ def test_reordered_passages_are_covered(spark):
     i = spark.createDataFrame([("a", " ".join(w), "")], "item_id string, context string, question string")
     got = leakage.coverage(leakage.tilings(d, i, run=8, least=5), 0.5).collect()
     assert [(r.doc_id, r.tiles, r.covered_share) for r in got] == [(1, 3, 0.75)]
+
+
+def test_coverage_against_brute_force(spark, monkeypatch):
+    """Passages in tiles of five to seven words, and the ends of questions, have no window of eight nor a beginning."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(f"i{k}", " ".join(text(36)), " ".join(text([3, 5, 9, 15][k % 4])) + "?") for k in range(12)] + [("null", None, None), ("empty", "", "")]
+    docs = [(900, None), (901, "")]
+    for n in range(96):
+        _, c, q = items[n % 12]
+        c, q, body = W(c), W(q), text(10)
+        if n % 5 == 0:
+            cuts = [c[i : i + 6] for i in range(0, 36, 6)]
+            rng.shuffle(cuts)
+            for cut in cuts[: rng.choice([2, 3, 5])]:
+                body += cut + text(1)
+        elif n % 5 == 1:
+            body += q[-rng.choice([5, 7, 12]) :]
+        elif n % 5 == 2:
+            body += c[10 : 10 + rng.choice([17, 18])]
+        elif n % 5 == 3:
+            body += q + text(3) + q[:4]
+        docs.append((n, " ".join(body + text(10))))
+    docs.append(docs[5])
+    want = set()
+    for doc, t in docs:
+        for item, *parts in items:
+            for part, p in zip(("context", "question"), map(W, parts)):
+                tiles = brute_tiles(W(t), p, 5 if part == "context" else min(5, len(p))) if p and t else []
+                if tiles and sum(x[0] for x in tiles) / len(p) >= 0.5:
+                    want.add((doc, item, part, len(tiles), sum(x[0] for x in tiles)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id string, context string, question string")
+
+    def got(**more):
+        rows = leakage.tilings(d, i, run=8, least=5, **more).where("covered >= 0.5 * words").select("doc_id", "item_id", "part", "tiles", "covered").collect()
+        assert len(rows) == len(set(rows))
+        return {tuple(r) for r in rows}
+
+    assert len(want) > 40 and got() == want and got(reach=0.5) == want
+    assert leakage.coverage(leakage.tilings(d, i, least=5, reach=0.5), 0.5).count() == len(want)
+    monkeypatch.setattr(leakage, "BROADCAST_SEEDS", 0)
+    assert got(reach=0.5) == want
