@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from functools import partial, update_wrapper
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import answering, judging, planning, retrieval
 from lodestone.plans import sql as S
-from lodestone.plans.retrieval_queries import ASKED, FACTS, asked, questions
+from lodestone.plans.retrieval_queries import _FUSED, ASKED, FACTS, _reranked, asked, questions
 from lodestone.plans.text_queries import chunks
 from lodestone.session import materialise
 from lodestone.tables import table
@@ -124,36 +127,36 @@ def audit_trail(spark: SparkSession, folder: str) -> DataFrame:
     return _assessed(spark, folder).select("qid", "label").join(plan, "qid").join(digests, "qid", "left").select("qid", "plan", F.coalesce("digests", F.lit("")).alias("digests"), "label")
 
 
-def _evidence(spark: SparkSession, folder: str, k: int = 6) -> DataFrame:
+def _evidence(spark: SparkSession, folder: str, k: int = 6, search=retrieval.bm25) -> DataFrame:
     q, c = questions(spark, folder), chunks(spark, folder)
-    return answering.evidence(retrieval.bm25(q, c, k), c, q)
+    return answering.evidence(search(q, c, k=k), c, q)
 
 
-def evidence_context(spark: SparkSession, folder: str) -> DataFrame:
-    return answering.context(_evidence(spark, folder)).select("qid", F.md5("context").alias("context_md5"), F.length("context").cast("long").alias("characters"))
+def evidence_context(spark: SparkSession, folder: str, search=retrieval.bm25) -> DataFrame:
+    return answering.context(_evidence(spark, folder, search=search)).select("qid", F.md5("context").alias("context_md5"), F.length("context").cast("long").alias("characters"))
 
 
-def best_sentence(spark: SparkSession, folder: str) -> DataFrame:
-    return answering.best_sentences(_evidence(spark, folder)).select("qid", "rank", "sentence", "overlap")
+def best_sentence(spark: SparkSession, folder: str, search=retrieval.bm25) -> DataFrame:
+    return answering.best_sentences(_evidence(spark, folder, search=search)).select("qid", "rank", "sentence", "overlap")
 
 
-def grounded_answers(spark: SparkSession, folder: str) -> DataFrame:
-    return answering.grounded(_evidence(spark, folder))
+def grounded_answers(spark: SparkSession, folder: str, search=retrieval.bm25) -> DataFrame:
+    return answering.grounded(_evidence(spark, folder, search=search))
 
 
-def draft_claims(spark: SparkSession, folder: str) -> DataFrame:
-    return answering.claims(_evidence(spark, folder))
+def draft_claims(spark: SparkSession, folder: str, search=retrieval.bm25) -> DataFrame:
+    return answering.claims(_evidence(spark, folder, search=search))
 
 
-def extractive_answer(spark: SparkSession, folder: str) -> DataFrame:
+def extractive_answer(spark: SparkSession, folder: str, search=retrieval.bm25) -> DataFrame:
     """The claims of a question with their sources, one a line."""
-    rows = answering.claims(_evidence(spark, folder, 3)).select("qid", "claim_no", F.concat("claim", F.lit(" ["), "chunk_id", F.lit("]")).alias("line"))
+    rows = answering.claims(_evidence(spark, folder, 3, search)).select("qid", "claim_no", F.concat("claim", F.lit(" ["), "chunk_id", F.lit("]")).alias("line"))
     return rows.groupBy("qid").agg(F.array_join(F.transform(answering.in_order("claim_no", "line"), lambda x: x["line"]), "\n").alias("answer"))
 
 
-def synthesize_answer(spark: SparkSession, folder: str) -> DataFrame:
+def synthesize_answer(spark: SparkSession, folder: str, search=retrieval.bm25) -> DataFrame:
     """The best sentences of a question's snippets that share a term with it, each once, in order."""
-    rows = answering.best_sentences(_evidence(spark, folder)).where("overlap > 0").groupBy("qid", "sentence").agg(F.min("rank").alias("rank"))
+    rows = answering.best_sentences(_evidence(spark, folder, search=search)).where("overlap > 0").groupBy("qid", "sentence").agg(F.min("rank").alias("rank"))
     return rows.groupBy("qid").agg(F.array_join(F.transform(answering.in_order("rank", "sentence"), lambda x: x["sentence"]), " ").alias("answer"), F.count("*").alias("sentences"))
 
 
@@ -166,32 +169,32 @@ def _context_facts(spark: SparkSession, folder: str, rows: DataFrame) -> tuple[D
     return facts, found
 
 
-def context_sufficiency(spark: SparkSession, folder: str) -> DataFrame:
+def context_sufficiency(spark: SparkSession, folder: str, search=retrieval.bm25) -> DataFrame:
     """Of each retrieval question: its facts, how many the best chunks hold, and whether that suffices."""
-    facts, found = _context_facts(spark, folder, _evidence(spark, folder))
+    facts, found = _context_facts(spark, folder, _evidence(spark, folder, search=search))
     held = found.select("qid", "fact_no").distinct().groupBy("qid").agg(F.count("*").alias("covered"))
     rows = facts.groupBy("qid").agg(F.count("*").alias("facts")).join(held, "qid", "left").na.fill(0, ["covered"])
     return rows.select("qid", "facts", "covered", F.round(F.col("covered") / F.col("facts"), 6).alias("score"), (F.col("covered") == F.col("facts")).alias("sufficient"))
 
 
-def _recovered(spark: SparkSession, folder: str, k: int = 6) -> DataFrame:
+def _recovered(spark: SparkSession, folder: str, k: int = 6, search=retrieval.bm25) -> DataFrame:
     """One more pass for the questions that are not covered, with what they miss."""
     q, c = questions(spark, folder), chunks(spark, folder)
-    first = materialise(retrieval.bm25(q, c, k), "first")
+    first = materialise(search(q, c, k=k), "first")
     facts, found = _context_facts(spark, folder, answering.evidence(first, c, q))
     missing = facts.join(found.select("qid", "fact_no").distinct(), ["qid", "fact_no"], "left_anti")
     missing = missing.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fact_no", "description"))), lambda x: x["description"]), " ").alias("missing"))
     again = q.join(missing, "qid").select("qid", planning.reformulated(F.col("question"), F.col("missing")).alias("question"))
-    return answering.merged(first, retrieval.bm25(again, c, k))
+    return answering.merged(first, search(again, c, k=k))
 
 
-def adaptive_recovery(spark: SparkSession, folder: str) -> DataFrame:
-    return _recovered(spark, folder)
+def adaptive_recovery(spark: SparkSession, folder: str, search=retrieval.bm25) -> DataFrame:
+    return _recovered(spark, folder, search=search)
 
 
-def recovery_merge(spark: SparkSession, folder: str) -> DataFrame:
+def recovery_merge(spark: SparkSession, folder: str, search=retrieval.bm25) -> DataFrame:
     """How many chunks each pass brought to a question."""
-    return _recovered(spark, folder).groupBy("qid").agg(F.count_if(F.col("pass") == 1).alias("first_pass"), F.count_if(F.col("pass") == 2).alias("second_pass"))
+    return _recovered(spark, folder, search=search).groupBy("qid").agg(F.count_if(F.col("pass") == 1).alias("first_pass"), F.count_if(F.col("pass") == 2).alias("second_pass"))
 
 
 def iterative_retrieval(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,9 +202,9 @@ def iterative_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     return _recovered(spark, folder).where("place <= 8").select("qid", "place", "chunk_id")
 
 
-def baseline_b0(spark: SparkSession, folder: str) -> DataFrame:
+def baseline_b0(spark: SparkSession, folder: str, search=retrieval.bm25) -> DataFrame:
     """The plain system: the best chunk as it is, whatever the question."""
-    return _evidence(spark, folder, 1).select("qid", "chunk_id", F.md5(F.coalesce("text", F.lit(""))).alias("answer_md5"))
+    return _evidence(spark, folder, 1, search).select("qid", "chunk_id", F.md5(F.coalesce("text", F.lit(""))).alias("answer_md5"))
 
 
 def _answered(judged: DataFrame, rows: DataFrame) -> DataFrame:
@@ -230,6 +233,27 @@ def baseline_e1(spark: SparkSession, folder: str) -> DataFrame:
     return _answered(_judged(*_context_facts(spark, folder, rows)), rows)
 
 
+def _assessed_context(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """qid, sufficient: whether the evidence holds all of a question's facts and no two numbers of it differ."""
+    facts, _ = _context_facts(spark, folder, rows)
+    snippets = rows.select("qid", F.col("chunk_id").alias("sid"), "text", F.col("document_id").alias("corpus_id"))
+    cited = snippets.select("qid", F.lit(1).alias("claim_no"), F.array("sid").alias("sids"))  # each chunk is a claim that cites itself
+    return judging.assess(facts, snippets, cited).select("qid", (F.col("label") == "sufficient").alias("sufficient"))
+
+
+def hybrid_baseline_b1(spark: SparkSession, folder: str) -> DataFrame:
+    """The judging system over dense and term search, fused and reranked: answers where all facts are held without conflict."""
+    rows = materialise(_evidence(spark, folder, search=retrieval.hybrid), "evidence")
+    return _answered(_assessed_context(spark, folder, rows), rows)
+
+
+def hybrid_baseline_e1(spark: SparkSession, folder: str) -> DataFrame:
+    """The recovering system, with hybrid search in both passes, judged as ``hybrid_baseline_b1``."""
+    merged = _recovered(spark, folder, search=retrieval.hybrid).select("qid", "chunk_id", F.col("place").alias("rank"))
+    rows = materialise(answering.evidence(merged, chunks(spark, folder), questions(spark, folder)), "evidence")
+    return _answered(_assessed_context(spark, folder, rows), rows)
+
+
 def dedupe_hits(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of like text within a corpus: the first id, and how many there are."""
     rows = table(spark, folder, "documents").dropDuplicates(["doc_id"])
@@ -242,6 +266,11 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
+#: Also over hybrid search, as the reference's pipeline takes it.
+_ALSO_HYBRID = (evidence_context, best_sentence, grounded_answers, draft_claims, extractive_answer, synthesize_answer, context_sufficiency, adaptive_recovery, recovery_merge, baseline_b0)
+QUERIES |= {f"hybrid_{f.__name__}": update_wrapper(partial(f, search=retrieval.hybrid), f) for f in _ALSO_HYBRID}
+QUERIES |= {f.__name__: f for f in (hybrid_baseline_b1, hybrid_baseline_e1)}
+
 LOG = "l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id) AS copy FROM per_question_comparison) WHERE copy = 1)"
 _SNIPPETS = "s AS (SELECT * FROM (SELECT question_id AS qid, 'b0' AS sid, b0_answer AS text FROM l UNION ALL SELECT question_id, 'b1', b1_answer FROM l UNION ALL SELECT question_id, 'e1', e1_answer FROM l) WHERE text IS NOT NULL AND trim(text) <> '')"
 _CLAIMS = f"""c_a AS (SELECT question_id AS qid, CASE b1_status WHEN 'answered' THEN ['b1'] WHEN 'partial' THEN ['b1', 'b9'] ELSE [] END AS sids, {S.sentences('e1_answer')} AS t FROM l),
@@ -371,3 +400,26 @@ SQL = {
     "iterative_retrieval": f"WITH {_RECOVERED} SELECT qid, place, chunk_id FROM r WHERE place <= 8",
     "dedupe_hits": f"SELECT min(doc_id) AS doc_id, corpus_id, count(*) AS copies FROM documents GROUP BY corpus_id, sha256({S.squashed('lower(text)')})",
 }
+
+
+def _hybrid(out: str, queries: str, k: int) -> str:
+    """CTEs of dense and term search of ``queries`` (qid, question), fused and reranked, over INDEX and the vectors ``cv``."""
+    body = f"{S.vectors('qv', 'q', 'qid', 'question')}, {S.dense('d', 20)}, {S.bm25('b', 'q', 20)}, {_FUSED}, c15 AS (SELECT * FROM f WHERE rank <= 15), {_reranked('c15', k)}"
+    own = re.sub(r"\b(qv\w*|d|d_s|b|b_[ts]|f|f_[sw]|c15|r|r_[cs])\b", rf"{out}_\1", re.sub(r"\bq\b", queries, body))
+    return f"{own}, {out} AS (SELECT * FROM {out}_r)"
+
+
+def _over_hybrid(sql: str, k: int = 6) -> str:
+    """The SQL of a query over term search, over hybrid search in each pass."""
+    first, again = S.bm25("b", "q", k), S.bm25("b2", "q2", 6)
+    return sql.replace(first, f"{S.vectors('cv', 'u', 'chunk_id', 'text')}, {_hybrid('b', 'q', k)}").replace(again, _hybrid("b2", "q2", 6))
+
+
+def _by_all_facts(sql: str, rows: str) -> str:
+    """The SQL of answers by half of the facts, by all of them and without conflict."""
+    clash = f"SELECT qid FROM (SELECT qid, unnest(regexp_extract_all(coalesce(text, ''), '\\d+')) AS term FROM {rows}) GROUP BY qid HAVING count(DISTINCT term) > 1"
+    return sql.replace(">= 0.5::DOUBLE * count(*)", f"= count(*) AND cf.qid NOT IN ({clash})")
+
+
+SQL |= {f"hybrid_{f.__name__}": _over_hybrid(SQL[f.__name__], {"baseline_b0": 1, "extractive_answer": 3}.get(f.__name__, 6)) for f in _ALSO_HYBRID}
+SQL |= {f"hybrid_baseline_{x}": _by_all_facts(_over_hybrid(SQL[f"baseline_{x}"]), rows) for x, rows in (("b1", "e"), ("e1", "e1"))}
