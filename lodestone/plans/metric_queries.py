@@ -154,6 +154,16 @@ def blinded_subset(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where((F.col("i") % 10).isin(0, 1, 4, 6, 9)).select("qid", "question", F.lit("").alias("human_decision"))
 
 
+def blinded_benchmark_subset(spark: SparkSession, folder: str) -> DataFrame:
+    """A fixed sample of the benchmark without labels, by source: five of every ten questions by first id, with all their variants."""
+    rows = table(spark, folder, "sufficiency_benchmark").where("id is not null and source_dataset is not null and original_question is not null").dropDuplicates(["id"])
+    firsts = rows.groupBy("source_dataset", "original_question").agg(F.min("id").alias("first"))
+    order = Window.partitionBy("source_dataset").orderBy("first")  # the held-out questions, a bounded set
+    taken = firsts.withColumn("i", F.row_number().over(order) - 1).where((F.col("i") % 10).isin(0, 1, 4, 6, 9))
+    rows = rows.join(taken, ["source_dataset", "original_question"], "left_semi")
+    return rows.select("id", "source_dataset", "original_question", "context", F.lit("").alias("human_decision"), F.lit("").alias("human_rationale"))
+
+
 def parse_structured(spark: SparkSession, folder: str) -> DataFrame:
     """The typed property of each event, by type."""
     rows = table(spark, folder, "events").select("event_type", structured.parsed(F.col("props"), "k long")["k"].alias("k"))
@@ -188,7 +198,7 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 _ALL = (
     binary_metrics, metrics_breakdown, system_summary, system_comparison, recovery_gain, baseline_runs, selective_answering, accuracy_coverage, auacc, selective_fit, label_distribution, frames_metrics,
-    fetch_coverage, distractor_hits, validate_contracts, validate_records, annotation_template, blinded_subset, parse_structured, repair_sufficiency_json, event_windows, sessions,
+    fetch_coverage, distractor_hits, validate_contracts, validate_records, annotation_template, blinded_subset, blinded_benchmark_subset, parse_structured, repair_sufficiency_json, event_windows, sessions,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -241,6 +251,9 @@ SQL = {
         CASE WHEN NOT coalesce(contains(lower(question), lower(subj)), FALSE) THEN 'subject_not_asked' END]) AS error FROM p) SELECT line_no, error FROM e WHERE error IS NOT NULL""",
     "annotation_template": f"WITH {LOG} SELECT question_id AS qid, question, expected_label AS curator_candidate_label, 'PENDING' AS gold_label, '' AS annotator_id, '' AS annotation_notes FROM l",
     "blinded_subset": f"WITH {LOG}, k AS (SELECT question_id AS qid, question, row_number() OVER (PARTITION BY question ORDER BY question_id) - 1 AS i FROM l) SELECT qid, question, '' AS human_decision FROM k WHERE i % 10 IN (0, 1, 4, 6, 9)",
+    "blinded_benchmark_subset": """WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id) AS copy FROM sufficiency_benchmark WHERE id IS NOT NULL AND source_dataset IS NOT NULL AND original_question IS NOT NULL) WHERE copy = 1),
+        k AS (SELECT source_dataset, original_question, row_number() OVER (PARTITION BY source_dataset ORDER BY min(id)) - 1 AS i FROM r GROUP BY source_dataset, original_question)
+        SELECT id, source_dataset, original_question, context, '' AS human_decision, '' AS human_rationale FROM r JOIN (SELECT source_dataset, original_question FROM k WHERE i % 10 IN (0, 1, 4, 6, 9)) USING (source_dataset, original_question)""",
     "parse_structured": "SELECT event_type, count(*) AS events, count(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS parsed, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type",
     "repair_sufficiency_json": f"WITH {LOG} SELECT question_id AS qid, b1_status = 'answered' AS sufficient, 0.75::DOUBLE AS probability FROM l",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL",
