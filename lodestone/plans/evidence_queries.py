@@ -7,6 +7,7 @@ from functools import partial, update_wrapper
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
 from lodestone.operators import answering, judging, planning, retrieval
@@ -254,6 +255,24 @@ def hybrid_baseline_e1(spark: SparkSession, folder: str) -> DataFrame:
     return _answered(_assessed_context(spark, folder, rows), rows)
 
 
+def hybrid_iterative_retrieval(spark: SparkSession, folder: str, passes: int = 3, budget: int = 100) -> DataFrame:
+    """What each question holds after up to ``passes`` of hybrid search, each for what is still missing, in the order it came."""
+    q, c = questions(spark, folder), chunks(spark, folder)
+    hits = lambda asked, n: retrieval.hybrid(asked, c, k=6).select("qid", "chunk_id", F.lit(n).cast("long").alias("pass"), "rank")
+    held = materialise(hits(q, 1), "held")
+    for n in range(2, passes + 1):
+        facts, found = _context_facts(spark, folder, answering.evidence(held, c, q))
+        missing = facts.join(found.select("qid", "fact_no").distinct(), ["qid", "fact_no"], "left_anti")
+        missing = missing.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fact_no", "description"))), lambda x: x["description"]), " ").alias("missing"))
+        again = materialise(q.join(missing, "qid").select("qid", planning.reformulated(F.col("question"), F.col("missing")).alias("question")), "again")
+        if again.isEmpty():
+            break
+        more = hits(again, n).join(held.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
+        held = materialise(held.unionByName(more), "held")
+    order = Window.partitionBy("qid").orderBy("pass", "rank")
+    return held.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= budget).select("qid", "place", "chunk_id")
+
+
 def dedupe_hits(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of like text within a corpus: the first id, and how many there are."""
     rows = table(spark, folder, "documents").dropDuplicates(["doc_id"])
@@ -269,7 +288,7 @@ QUERIES = {f.__name__: f for f in _ALL}
 #: Also over hybrid search, as the reference's pipeline takes it.
 _ALSO_HYBRID = (evidence_context, best_sentence, grounded_answers, draft_claims, extractive_answer, synthesize_answer, context_sufficiency, adaptive_recovery, recovery_merge, baseline_b0)
 QUERIES |= {f"hybrid_{f.__name__}": update_wrapper(partial(f, search=retrieval.hybrid), f) for f in _ALSO_HYBRID}
-QUERIES |= {f.__name__: f for f in (hybrid_baseline_b1, hybrid_baseline_e1)}
+QUERIES |= {f.__name__: f for f in (hybrid_baseline_b1, hybrid_baseline_e1, hybrid_iterative_retrieval)}
 
 LOG = "l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id) AS copy FROM per_question_comparison) WHERE copy = 1)"
 _SNIPPETS = "s AS (SELECT * FROM (SELECT question_id AS qid, 'b0' AS sid, b0_answer AS text FROM l UNION ALL SELECT question_id, 'b1', b1_answer FROM l UNION ALL SELECT question_id, 'e1', e1_answer FROM l) WHERE text IS NOT NULL AND trim(text) <> '')"
