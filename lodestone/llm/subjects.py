@@ -24,6 +24,8 @@ from lodestone.session import materialise
 
 #: At most so many labelled documents are trained on, chosen by a hash of their id.
 LABELLED_DOCUMENTS = 3_000
+#: More areas than this are refused, since every model holds an output an area.
+MOST_SUBJECTS = 10_000
 BUCKETS = 1 << 14
 DIMENSIONS = 12
 _END = re.compile(r"(?<=[.!?])[\"'”’)]*\s+|\n+")
@@ -32,16 +34,21 @@ _HEADING = re.compile(r"^\s*#{1,6}\s|^\s*>.*\bwrote:\s*$")
 
 
 def sentences(text: str | None, longest: int = 40, piece: int = 14) -> list[list[str]]:
-    """Words of each sentence; headings and single words are none; a run without an end is cut into pieces."""
-    out = []
+    """Words of each sentence. Headings, leads of quotations and sentences of one or two words go with the sentence that
+    follows (with the last one at the end of a text); a run without an end is cut into pieces, the last of which takes the rest."""
+    out, ahead = [], []
     for part in _END.split(text or ""):
-        if not part or _HEADING.match(part):
-            continue
-        words = WORD.findall(_LEAD.sub("", part).lower())
-        if len(words) > longest:
-            out += [words[i : i + piece] for i in range(0, len(words) - piece // 2, piece)]
-        elif len(words) > 2:
-            out.append(words)
+        words = WORD.findall(_LEAD.sub("", part).lower()) if part else []
+        if len(words) < 3 or _HEADING.match(part):
+            ahead += words
+        elif len(words) > longest:
+            cuts = [*range(0, len(words) - piece // 2, piece), len(words)]
+            out += [words[i:j] for i, j in zip(cuts, cuts[1:])]
+            out[1 - len(cuts)], ahead = ahead + out[1 - len(cuts)], []
+        else:
+            out, ahead = [*out, ahead + words], []
+    if ahead and out:
+        out[-1] = out[-1] + ahead
     return out
 
 
@@ -51,8 +58,21 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(word) % BUCKETS] + [BUCKETS + xxhash.xxh3_64_intdigest(marked[i : i + 4]) % BUCKETS for i in range(0, max(1, len(marked) - 3))]
 
 
+def _saved(data: dict) -> pa.RecordBatch:
+    file = io.BytesIO()
+    np.savez(file, **data)
+    return pa.RecordBatch.from_arrays([pa.array([file.getvalue()], pa.binary())], ["arrays"])
+
+
+def _loaded(batches):
+    for batch in batches:
+        for blob in batch.column("arrays").to_pylist():
+            data = np.load(io.BytesIO(blob))
+            yield {k: data[k] for k in data.files}
+
+
 def _packed(batches, subjects: list[str]):
-    """Training sentences of a batch as one row of arrays."""
+    """Training sentences of a batch as one row of arrays: words of each sentence, buckets of each word, targets."""
     place = {s: i for i, s in enumerate(subjects)}
     for batch in batches:
         vocabulary: dict[str, int] = {}
@@ -66,12 +86,10 @@ def _packed(batches, subjects: list[str]):
                 targets.append(y)
         if targets:
             of = [features(w) for w in vocabulary]
-            file = io.BytesIO()
-            np.savez(
-                file, words=np.array(words, np.int32), ends=np.array(ends, np.int64), targets=np.array(targets, np.float32),
-                buckets=np.concatenate(of).astype(np.int32), starts=np.cumsum([0, *map(len, of)]).astype(np.int64),
-            )
-            yield pa.RecordBatch.from_arrays([pa.array([file.getvalue()], pa.binary())], ["arrays"])
+            yield _saved({
+                "words": np.array(words, np.int32), "ends": np.array(ends, np.int64), "targets": np.array(targets, np.float32),
+                "buckets": np.concatenate(of).astype(np.int32), "starts": np.cumsum([0, *map(len, of)]).astype(np.int64),
+            })
 
 
 def _forward(model: dict, data) -> tuple[np.ndarray, ...]:
@@ -86,39 +104,41 @@ def _sums(values: np.ndarray, index: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(index, weights=values[:, k], minlength=size) for k in range(values.shape[1])], axis=1)
 
 
-def _gradients(batches, models, trust: np.ndarray):
-    """Sum of the gradients over the sentences of a partition."""
-    model, teacher = models.value
-    total, seen, loss = None, 0, 0.0
-    for batch in batches:
-        for blob in batch.column("arrays").to_pylist():
-            data = np.load(io.BytesIO(blob))
-            data = {k: data[k] for k in data.files}
-            targets = data["targets"]
-            if teacher is not None:
-                belief = _forward(teacher, data)[1]
-                best = (belief * targets).max(axis=1, keepdims=True)
-                targets = np.where((targets > 0) & (belief >= 0.6 * best) & (belief >= trust), 1.0, 0.0)
-            means, p, sizes, counts = _forward(model, data)
-            error = (p - targets).astype(np.float32)
-            back = (error @ model["output"].T) / counts
-            words = _sums(np.repeat(back, counts[:, 0], axis=0), data["words"], len(sizes)) / sizes
-            embedding = _sums(np.repeat(words, sizes[:, 0], axis=0), data["buckets"], 2 * BUCKETS)
-            parts = [embedding, means.T @ error, error.sum(axis=0)]
-            total = parts if total is None else [a + b for a, b in zip(total, parts)]
-            seen += len(p)
-            loss -= float((targets * np.log(p + 1e-9) + (1 - targets) * np.log(1 - p + 1e-9)).sum())
+def _spoken_for(batches, teacher, trust: np.ndarray):
+    """The sentences with those of their targets that the teacher speaks for: it believes in them clearly more than of just
+    any sentence under the label, and not much less than in another label of the document."""
+    for data in _loaded(batches):
+        belief = _forward(teacher.value, data)[1]
+        best = (belief * data["targets"]).max(axis=1, keepdims=True)
+        kept = (data["targets"] > 0) & (belief >= 0.6 * best) & (belief >= trust)
+        yield _saved(data | {"targets": kept.astype(np.float32)})
+
+
+def _gradients(batches, model):
+    """Sum of the gradients over the sentences of a partition, as half-precision parts of its greatest entry."""
+    model, total, seen = model.value, None, 0
+    for data in _loaded(batches):
+        means, p, sizes, counts = _forward(model, data)
+        error = (p - data["targets"]).astype(np.float32)
+        back = (error @ model["output"].T) / counts
+        words = _sums(np.repeat(back, counts[:, 0], axis=0), data["words"], len(sizes)) / sizes
+        embedding = _sums(np.repeat(words, sizes[:, 0], axis=0), data["buckets"], 2 * BUCKETS)
+        flat = np.concatenate([embedding.ravel(), (means.T @ error).ravel(), error.sum(axis=0)])
+        total, seen = flat if total is None else total + flat, seen + len(p)
     if total is not None:
-        flat = np.concatenate([x.ravel() for x in total]).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([seen]), pa.array([loss])], ["gradient", "seen", "loss"])
+        scale = float(np.abs(total).max()) or 1.0
+        yield pa.RecordBatch.from_arrays([pa.array([(total / scale).astype(np.float16).tobytes()], pa.binary()), pa.array([scale]), pa.array([seen])], ["gradient", "scale", "seen"])
 
 
 def train(labelled: DataFrame, subjects: list[str], steps: tuple[int, int] = (40, 60), rate: float = 0.1, decay: float = 1e-5, partitions: int = 4, seed: int = 3) -> dict:
-    """The model from ``labelled`` (text, labels array<string>). No labelled sentences give the untrained model."""
+    """The model from ``labelled`` (text, labels array<string>). No labelled sentences give the untrained model.
+
+    In each step every partition gives one gradient of fixed size, and the driver makes one update; nothing of a step stays behind.
+    """
     spark = labelled.sparkSession
+    context = spark.sparkContext
     labelled = materialise(labelled, "labelled")
     packed = materialise(labelled.repartition(partitions).mapInArrow(partial(_packed, subjects=subjects), "arrays binary"), "sentences")
-    # a sentence speaks for a label where the teacher believes so clearly more than of just any sentence under it
     given = {r[0]: r[1] for r in labelled.select(F.explode("labels").alias("label")).groupBy("label").count().collect()}  # a row a subject
     total = max(1, labelled.count())
     trust = 0.5 + 0.5 * np.array([given.get(s, 0) / total for s in subjects])
@@ -128,25 +148,27 @@ def train(labelled: DataFrame, subjects: list[str], steps: tuple[int, int] = (40
         "output": rng.normal(0, 0.3, (DIMENSIONS, n)).astype(np.float32),
         "bias": np.full(n, -2.0, np.float32),
     }
-    names, teacher = list(model), None
-    for phase in steps:
+    for phase, phase_steps in enumerate(steps):
+        if phase:
+            teacher = context.broadcast(model)  # of fixed size
+            packed = materialise(packed.mapInArrow(partial(_spoken_for, teacher=teacher, trust=trust), "arrays binary"), "sentences")
+            teacher.destroy()
         first, second = ({k: np.zeros_like(v) for k, v in model.items()} for _ in range(2))
-        for t in range(1, phase + 1):
-            both = spark.sparkContext.broadcast((model, teacher))  # of fixed size
-            rows = packed.mapInArrow(partial(_gradients, models=both, trust=trust), "gradient binary, seen long, loss double").collect()
-            both.unpersist()
+        for t in range(1, phase_steps + 1):
+            shared = context.broadcast(model)  # of fixed size
+            rows = packed.mapInArrow(partial(_gradients, model=shared), "gradient binary, scale double, seen long").collect()
+            shared.destroy()
             seen = sum(r.seen for r in rows)
             if not seen:
                 return model
-            flat, at, new = sum(np.frombuffer(r.gradient, np.float32) for r in rows) / seen, 0, {}
-            for k in names:
+            flat, at, new = sum(np.frombuffer(r.gradient, np.float16).astype(np.float32) * np.float32(r.scale) for r in rows) / seen, 0, {}
+            for k in model:
                 g = flat[at : at + model[k].size].reshape(model[k].shape) + decay * model[k]
                 at += model[k].size
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 new[k] = (model[k] - rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
             model = new
-        teacher = model
     return model
 
 
@@ -200,22 +222,25 @@ def _scores(batches, model, name: str, subjects: list[str], belief: float, lead:
 def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame, belief: float = 0.35, lead: float = 0.7, labelled_documents: int = LABELLED_DOCUMENTS, **training) -> DataFrame:
     """Sentences of each document that deal with an area: doc_id, subject, hits, sentences; areas without one have no row.
 
-    ``documents``: doc_id long, text. ``labels``: doc_id, subject. ``subjects``: subject (a list of at most some
-    hundred). Null or empty texts have no sentences and no rows; ids and labels that come twice count once; labels of unknown
+    ``documents``: doc_id long, text. ``labels``: doc_id, subject. ``subjects``: subject. Null or empty texts have no sentences and no rows; ids and labels that come twice count once; labels of unknown
     subjects or documents are ignored. A sentence deals with an area at a probability of ``belief`` or more, unless another
     area's logit is higher by over ``lead``. The model is fitted to at most ``labelled_documents`` documents.
     """
     import uuid
 
     spark = documents.sparkSession
-    names = sorted(r[0] for r in subjects.where("subject is not null").select("subject").distinct().limit(1_000).collect())
+    names = sorted(r[0] for r in subjects.where("subject is not null").select("subject").distinct().limit(MOST_SUBJECTS + 1).collect())
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
     given = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("labels"))
     sample = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_documents)
     texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     labelled = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])  # of bounded size
     model = spark.sparkContext.broadcast(train(labelled, names, **training))
     scored = texts.mapInArrow(partial(_scores, model=model, name=uuid.uuid4().hex, subjects=names, belief=belief, lead=lead), "doc_id long, subject string, hits int, sentences int")
-    return scored.dropDuplicates(["doc_id", "subject"])
+    scored = materialise(scored.dropDuplicates(["doc_id", "subject"]), "scored")
+    model.destroy()
+    return scored
 
 
 def prevailing(scored: DataFrame, share: float = 0.2, least: int = 2) -> DataFrame:
