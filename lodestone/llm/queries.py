@@ -52,8 +52,8 @@ def _answer_defects(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "per_question_comparison").dropDuplicates(["question_id"])
     sides = [("b0_answer", "b1_answer", "e1_answer"), ("e1_answer", "b1_answer", "b0_answer")]
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("answer"), F.concat_ws(" ", *rest).alias("others")) for f, *rest in sides])).alias("x")
-    asked = rows.select(F.col("question_id").alias("id"), "question", (F.col("expected_label") == "sufficient").alias("answerable"), each)
-    asked = asked.select("id", "x.field", "question", "x.answer", "x.others", "answerable")
+    asked = rows.select(F.col("question_id").alias("id"), "question", F.col("b1_answer").alias("whole"), (F.col("expected_label") == "sufficient").alias("answerable"), each)
+    asked = asked.select("id", "x.field", "question", "x.answer", "x.others", "answerable", "whole")
     declined = F.coalesce(F.col("b1_status") != "answered", F.lit(False)) & (F.col("expected_label") != "sufficient")
     whole = rows.select(F.col("question_id").alias("id"), "question", F.col("b1_answer").alias("answer"), F.concat_ws(" ", "b0_answer", "e1_answer").alias("others"), declined.alias("declined"))
     return answers.defects(asked, whole)
