@@ -2,17 +2,17 @@
 
 Method. Fields whose notation leaves no doubt (quoted values) give a dictionary of known whole values. A multi-pattern
 automaton over the dictionary's values that hold a separator finds them in every other field, and dynamic programming
-picks the cover of each field that cuts the least known values: a separator inside a known whole value is protected.
+picks the cover of each field with the fewest parts that are no known value: a separator inside a known whole value is protected.
 
-The dictionary is built and counted by Spark. Up to ``automaton_bytes`` it is sent to the tasks as an automaton; a larger
-one is joined instead, on the spans between separators, which finds the same values.
+The dictionary is built and counted by Spark. An automaton holds at most ``automaton_bytes`` of it; a larger dictionary is dealt
+to several by a hash, each of which goes over the fields once, and the spans that any of them finds are covered together.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from functools import partial
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +24,6 @@ from lodestone.session import materialise
 QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "«": "»", "‘": "’"}
 STRONG = "|;\n\t"
 BRACKETS = {"[": "]", "{": "}"}
-#: A known value may hold up to so many separators.
-SEPARATORS_INSIDE = 12
 _SEPARATOR = re.compile(r"[|;,\n\t]|\s/\s")
 _ROWS = "key long, field string, pos int, item string"
 _NUMBER = re.compile(r"(?:^|(?<=[\s;|,]))(?:\((\d{1,4})\)|(\d{1,4})[.)](?=\s))\s*")
@@ -154,27 +152,19 @@ def _edges(part: tuple, text: str) -> tuple[int, int]:
     return part[2] + len(piece) - len(piece.lstrip()), part[2] + len(piece.rstrip())
 
 
-def candidates(field: str | None) -> list[tuple[int, int, str]]:
-    """Spans of a field that hold a separator and could be one value: (start, end, text)."""
-    parts, seps, text = atoms(field)
-    if not seps:
-        return []
-    parts, seps = _merged(parts, seps, text)
-    edges = [_edges(p, text) for p in parts]
-    out = []
-    for i in range(len(parts)):
-        for j in range(i + 1, min(len(parts), i + SEPARATORS_INSIDE + 1)):
-            if parts[i][1] or parts[j][1]:
-                break
-            out.append((edges[i][0], edges[j][1], text[edges[i][0] : edges[j][1]]))
-    return out
+def _aligned(edges: list[tuple[int, int]], spans) -> list[tuple[int, int]]:
+    """Spans of the text that are two or more whole parts: (first part, last part)."""
+    begins, ends = {a: i for i, (a, _) in reversed(list(enumerate(edges)))}, {b: i for i, (_, b) in enumerate(edges)}
+    found = ((begins.get(a, len(edges)), ends.get(b, -1)) for a, b in spans)
+    return [(i, j) for i, j in found if i < j]
 
 
-def cover(field: str | None, spans: set[tuple[int, int]] = frozenset()) -> list[str]:
-    """The values of a field, in order. ``spans``: (start, end) of known whole values among its ``candidates``.
+def cover(field: str | None, spans=frozenset()) -> list[str]:
+    """The values of a field, in order. ``spans``: (start, end) of known whole values in its text.
 
-    Dynamic programming over the separators. A part costs 1, and nothing where it is a known value; parts joined
-    over a separator must be a known value, and no repetition of one part ("a, a" is a value given twice).
+    Dynamic programming over the separators. A part that is a known value costs nothing, any other 1, and of covers that cost the
+    same the one of fewest parts is taken. Parts joined over a separator must be a known value, and no repetition of one part
+    ("a, a" is a value given twice).
     """
     parts, seps, text = atoms(field)
     if not parts:
@@ -182,18 +172,17 @@ def cover(field: str | None, spans: set[tuple[int, int]] = frozenset()) -> list[
     parts, seps = _merged(parts, seps, text)
     edges = [_edges(p, text) for p in parts]
     n = len(parts)
-    best = [(0.0, 0)] + [(float("inf"), 0)] * n
+    known: dict[int, list[int]] = {}
+    for i, j in _aligned(edges, spans):
+        if len({text[a:b] for a, b in edges[i : j + 1]}) > 1:
+            known.setdefault(j + 1, []).append(i)
+    best = [(0, 0, 0)]  # cost, parts, where the last part begins
     for j in range(1, n + 1):
-        for i in range(j - 1, max(-1, j - 2 - SEPARATORS_INSIDE), -1):
-            if j - i > 1:
-                if (edges[i][0], edges[j - 1][1]) not in spans or len({text[a:b] for a, b in edges[i:j]}) == 1:
-                    continue
-            here = best[i][0] + 1.0
-            if here < best[j][0]:
-                best[j] = (here, i)
+        ways = [(best[j - 1][0] + 1, best[j - 1][1] + 1, j - 1)] + [(best[i][0], best[i][1] + 1, i) for i in known.get(j, ())]
+        best.append(min(ways))
     out, j = [], n
     while j:
-        i = best[j][1]
+        i = best[j][2]
         out.append(parts[i][0] if j - i == 1 else text[parts[i][2] : parts[j - 1][3]])
         j = i
     values = (_BULLET.sub("", value.strip()).strip() for value in reversed(out))
@@ -210,16 +199,6 @@ def _certain(batches):
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["item"])
 
 
-def _ambiguous(batches):
-    for batch in batches:
-        rows = []
-        for key, field, packed in zip(*(batch.column(c).to_pylist() for c in ("key", "field", "packed"))):
-            rows += [(key, field, a, b, t) for a, b, t in candidates(packed)]
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["key", "field", "a", "b", "item"])
-
-
 def _automaton(values):
     import ahocorasick
 
@@ -234,25 +213,42 @@ def _automaton(values):
 _BUILT: dict = {}
 
 
+def _built(dictionary, name: str):
+    if name not in _BUILT:  # once a worker
+        _BUILT.clear()
+        _BUILT[name] = _automaton(dictionary.value)
+    return _BUILT[name]
+
+
+def _spans(automaton, packed: str | None) -> list[tuple[int, int]]:
+    if not len(automaton) or not packed or not _SEPARATOR.search(packed):
+        return []
+    return [(end + 1 - size, end + 1) for end, size in automaton.iter(_bare(packed))]
+
+
+def _found(batches, dictionary, name: str):
+    """Spans of each field that an automaton finds and that are whole parts of it."""
+    automaton = _built(dictionary, name)
+    for batch in batches:
+        rows = []
+        for key, field, packed in zip(*(batch.column(c).to_pylist() for c in ("key", "field", "packed"))):
+            if spans := _spans(automaton, packed):
+                parts, seps, text = atoms(packed)
+                edges = [_edges(p, text) for p in _merged(parts, seps, text)[0]]
+                rows += [(key, field, edges[i][0], edges[j][1]) for i, j in _aligned(edges, spans)]
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["key", "field", "a", "b"])
+
+
 def _split(batches, dictionary, name: str = ""):
-    """Rows of (key, field, pos, item); known spans come from the automaton, or with the rows where it is None."""
-    automaton = None
-    if dictionary is not None:
-        if name not in _BUILT:  # once a worker
-            _BUILT.clear()
-            _BUILT[name] = _automaton(dictionary.value)
-        automaton = _BUILT[name]
+    """Rows of (key, field, pos, item); known spans come from the automaton, or with the rows where there are several."""
+    automaton = _built(dictionary, name) if dictionary is not None else None
     for batch in batches:
         keys, fields, places, items = [], [], [], []
         given = batch.column("spans").to_pylist() if automaton is None else None
         for row, (key, field, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "field", "packed")))):
-            if automaton is None:
-                spans = {(x["a"], x["b"]) for x in given[row] or ()}
-            elif len(automaton) and packed and _SEPARATOR.search(packed):
-                text = _bare(packed)
-                spans = {(end + 1 - size, end + 1) for end, size in automaton.iter(text)}
-            else:
-                spans = frozenset()
+            spans = _spans(automaton, packed) if given is None else [(x["a"], x["b"]) for x in given[row] or ()]
             for pos, value in enumerate(cover(packed, spans)):
                 keys.append(key)
                 fields.append(field)
@@ -270,13 +266,20 @@ def unpack(fields: DataFrame, least_records: int = 2, automaton_bytes: int = 4_0
     only between spaces; a comma only in fields without another separator. A known value is one that stands in quotes in
     at least ``least_records`` records.
     """
+    context = fields.sparkSession.sparkContext
     fields = fields.select("key", "field", "packed").where("key is not null and packed is not null").dropDuplicates(["key", "field"])
     known = fields.select("packed").mapInArrow(_certain, "item string").groupBy("item").agg(F.count("*").alias("records"))
     known = materialise(known.where(F.col("records") >= least_records).select("item"), "known")
-    size = known.agg(F.coalesce(F.sum(F.octet_length("item")), F.lit(0))).first()[0]
-    if size <= automaton_bytes:
-        dictionary = fields.sparkSession.sparkContext.broadcast([r[0] for r in known.collect()])
+    size, values = known.agg(F.coalesce(F.sum(F.octet_length("item")), F.lit(0)), F.count("*")).first()
+    shards = max(1, min(values, -(-size // max(1, automaton_bytes))))
+    if shards == 1:
+        dictionary = context.broadcast([r[0] for r in known.collect()])  # of checked size
         return fields.mapInArrow(partial(_split, dictionary=dictionary, name=uuid.uuid4().hex), _ROWS)
-    spans = fields.mapInArrow(_ambiguous, "key long, field string, a int, b int, item string").join(known, "item")
-    spans = spans.groupBy("key", "field").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    known, spans = materialise(known.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards))).repartition("shard"), "shards"), []
+    for shard in range(shards):
+        dictionary = context.broadcast([r[0] for r in known.where(F.col("shard") == shard).select("item").collect()])  # about ``automaton_bytes``
+        found = fields.mapInArrow(partial(_found, dictionary=dictionary, name=uuid.uuid4().hex), "key long, field string, a int, b int")
+        spans.append(materialise(found, "spans"))
+        dictionary.destroy()
+    spans = reduce(DataFrame.unionByName, spans).groupBy("key", "field").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return fields.join(spans, ["key", "field"], "left").mapInArrow(partial(_split, dictionary=None), _ROWS)

@@ -52,8 +52,9 @@ def test_known_values_protect_their_separator(spark):
     rows = fields(spark, '["Torran, Upper Ward", "x"]', '"Torran, Upper Ward"', "Old Torran, Torran, Upper Ward, b", "a, a", None, "", '["a, a"]', '["a, a", "q"]')
     want = {0: ["Torran, Upper Ward", "x"], 1: ["Torran, Upper Ward"], 2: ["Old Torran", "Torran, Upper Ward", "b"], 3: ["a", "a"], 6: ["a, a"], 7: ["a, a", "q"]}
     assert unpacked(packed.unpack(rows)) == want
-    # a dictionary too large for the automaton is joined, with the same result
+    # a dictionary too large for one automaton is dealt to several, with the same result
     assert unpacked(packed.unpack(rows, automaton_bytes=0)) == want
+    assert unpacked(packed.unpack(rows, automaton_bytes=7)) == want
 
 
 def test_repeated_keys_and_empty_tables(spark):
@@ -65,3 +66,23 @@ def test_repeated_keys_and_empty_tables(spark):
 def test_very_long_field():
     assert len(packed.cover("; ".join(["a, b"] * 20_000))) == 20_000
     assert len(packed.cover(", ".join(["a"] * 20_000))) == 20_000
+
+
+def test_cover_cuts_the_fewest_known_values():
+    text = "a, b, c, d"
+    at = lambda part: (text.index(part), text.index(part) + len(part))
+    assert packed.cover(text, {at("a, b"), at("c, d"), at("b, c, d")}) == ["a, b", "c, d"]
+    assert packed.cover(text, {at("a, b"), at("a, b, c"), at("b, c")}) == ["a, b, c", "d"]
+    assert packed.cover(text, {at("b, c")}) == ["a", "b, c", "d"]
+    # spans that are no whole parts change nothing
+    assert packed.cover("xa, bc", {(1, 5), (0, 5), (1, 6)}) == ["xa", "bc"]
+
+
+def test_long_and_quoted_known_values_in_one_automaton_and_in_several(spark):
+    long = ", ".join(f"part{i}" for i in range(15))
+    partly = 'x, "y"'
+    rows = fields(spark, json.dumps([long, "q"]), json.dumps([long]), f"k, {long}, z", json.dumps([partly, "q"]), json.dumps([partly]), partly, f"{partly}, z")
+    got = unpacked(packed.unpack(rows))
+    assert got[2] == ["k", long, "z"] and got[5] == [partly] and got[6] == [partly, "z"]
+    for size in (len(long), 8, 0):
+        assert unpacked(packed.unpack(rows, automaton_bytes=size)) == got
