@@ -60,45 +60,57 @@ def _document_seeds(batches, lengths: list[int], known):
         yield pa.RecordBatch.from_arrays([cat(docs, pa.int64()), cat(sizes, pa.int32()), cat(values, pa.int64())], ["doc_id", "length", "seed"])
 
 
+def _free_runs(words: np.ndarray, free: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and Karp-Rabin values of the windows of ``length`` words none of which is marked."""
+    values = rolling(words, length)
+    taken = np.concatenate([[0], np.cumsum(~free)])
+    at = np.flatnonzero(taken[length:] == taken[: len(values)]) if len(values) else np.empty(0, np.int64)
+    return at, values[at]
+
+
 def tile(doc: np.ndarray, passage: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (length, place in ``doc``, place in ``passage``) of each tile, longest first.
 
-    Of equally long matches the first in the document, then in the passage, is marked first. Empty sides or a side
-    shorter than ``least`` give no tile.
+    The greatest length at which the unmarked words of both have a window in common is found by bisection, and all its
+    windows are marked; then the next length. Of equally long matches the first in the document, then in the passage, is
+    marked first. Empty sides or a side shorter than ``least`` give no tile. Time and memory grow with the
+    words, not with the pairs of places, however repetitive the texts are.
     """
     if least < 1:
         raise ValueError("least must be positive")
-    places: dict[int, list[int]] = {}
-    for p, value in enumerate(rolling(passage, least).tolist()):
-        places.setdefault(value, []).append(p)
-    starts = rolling(doc, least)
-    starts = np.flatnonzero(np.isin(starts, np.fromiter(places, dtype=np.uint64, count=len(places)))) if places else []
-    values = rolling(doc, least)
     free_d, free_p = np.ones(len(doc), bool), np.ones(len(passage), bool)
-    seeds = [(int(d), p) for d in starts for p in places[int(values[d])]]
-    tiles = []
-    while seeds:
-        matches, left = [], []
-        last: dict[int, int] = {}  # where the running match of a diagonal ends
-        for d, p in seeds:
-            if last.get(d - p, -1) >= d + least:
-                left.append((d, p))
+
+    def common(length: int) -> bool:
+        return bool(np.isin(_free_runs(doc, free_d, length)[1], _free_runs(passage, free_p, length)[1]).any())
+
+    tiles, high = [], min(len(doc), len(passage))
+    while high >= least and common(least):
+        low = least  # there is a match of length low, and none longer than high
+        step = 1
+        while low < high:
+            middle = min(high, low + step)
+            if common(middle):
+                low, step = middle, step * 2
+            else:
+                high, step = middle - 1, max(1, (middle - 1 - low) // 2)
+        places: dict[int, list[int]] = {}
+        at, values = _free_runs(passage, free_p, low)
+        for p, value in zip(at[::-1].tolist(), values[::-1].tolist()):
+            places.setdefault(value, []).append(p)  # the first is last
+        at, values = _free_runs(doc, free_d, low)
+        hits = np.isin(values, np.fromiter(places, np.uint64, len(places)))
+        end = 0
+        for d, value in zip(at[hits].tolist(), values[hits].tolist()):
+            if d < end:
                 continue
-            n, most = 0, min(len(doc) - d, len(passage) - p)
-            while n < most and free_d[d + n] and free_p[p + n] and doc[d + n] == passage[p + n]:
-                n += 1
-            if n >= least:
-                matches.append((n, d, p))
-                left.append((d, p))
-                last[d - p] = d + n
-        if not matches:
-            break
-        longest = max(m[0] for m in matches)
-        for n, d, p in matches:
-            if n == longest and free_d[d : d + n].all() and free_p[p : p + n].all():
-                free_d[d : d + n] = free_p[p : p + n] = False
-                tiles.append((n, d, p))
-        seeds = left
+            left = places[value]
+            while left and not free_p[left[-1] : left[-1] + low].all():
+                left.pop()
+            if left and (doc[d : d + low] == passage[left[-1] : left[-1] + low]).all():
+                p, end = left.pop(), d + low
+                free_d[d:end] = free_p[p : p + low] = False
+                tiles.append((low, d, p))
+        high = low - 1
     return tiles
 
 

@@ -9,13 +9,17 @@ opened. Opened pairs are checked exactly on the full sets of word sequences.
 Copies (the same words in the same order) are one class from the start: all joins run between classes, never between copies.
 
 Tokens are windows of ``token_words`` words whose hash lies under a threshold that depends on the text's size
-alone, about ``sample`` of them a text, all of them for short texts. A text and a partner of similarity 0.5 share about
+alone, about ``sample`` of its different windows, all of them for short texts and at least the ``floor`` least. A text and a partner of similarity 0.5 share about
 eight of twenty; ``least_share`` of them is asked for of a group, ``pair_share`` of a pair. The exact check follows, so
 sampling can only lose a pair, never add one; recall against brute force is tested.
 
-Hot tokens: counts are pre-aggregated, a text leaves out its most frequent tokens as far as the
-required overlap allows (the rest still meet every qualifying partner), and groups over ``group_rows`` are
-split by a hash of the member.
+Similar texts have nearly as many different word sequences, so groups hold texts of one size only (sizes grow by the factor
+that the similarity allows), and a text is never put to groups of other than the same or the next size: a part of a page does not meet
+the page.
+
+Hot tokens: counts are pre-aggregated, a text leaves out its most frequent tokens as far as the required overlap allows (the
+rest still meet every qualifying partner), groups over ``group_rows`` are split by a hash of the member, and the
+groups of a token of more than ``hot_rows`` texts are dealt to several keys by a hash.
 """
 
 from __future__ import annotations
@@ -29,11 +33,20 @@ from pyspark.sql import functions as F
 from lodestone.llm.text import batch_hashes, batch_rolling, mixed, rolling, slices, word_hashes
 from lodestone.session import materialise, prefer_hash_joins
 
-_SKETCH = "kind string, id string, n long, copy long, tokens array<long>"
-_SETS = "kind string, id string, sequences array<int>"
+_SKETCH = "kind string, id string, n long, m long, copy long, tokens array<long>"
+_SIMILAR = "a long, b long, similarity double"
+
 
+def _distinct(values: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values without those that their text has already, by text and value."""
+    order = np.lexsort((values, text))
+    values, text = values[order], text[order]
+    first = np.ones(len(values), bool)
+    first[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
+    return values[first], text[first]
 
-def _sketches(batches, words: int, least_words: int, token_words: int, sample: int):
+
+def _sketches(batches, words: int, least_words: int, token_words: int, sample: int, floor: int):
     for batch in slices(batches):
         hashes, places = batch_hashes(batch.column("text").to_pylist())
         sizes = np.diff(places)
@@ -44,36 +57,41 @@ def _sketches(batches, words: int, least_words: int, token_words: int, sample: i
             text = np.append(text, t)
         kinds = np.array([xxhash.xxh3_64_intdigest(k) for k in batch.column("kind").to_pylist()], dtype=np.uint64)
         values = mixed(values ^ kinds[text]) if len(values) else values
-        top = np.minimum(1.0, sample / np.maximum(1, sizes - token_words + 1))
+        values, text = _distinct(values, text)
+        # the rate is that of the text's different windows; its few least ones are always kept
+        windows = np.bincount(text, minlength=len(sizes))
+        top = np.minimum(1.0, sample / np.maximum(1, windows))
         limit = np.minimum(top * 2.0**64, 2.0**64 - 2048).astype(np.uint64)
         limit[top >= 1] = np.uint64(2**64 - 1)
-        keep = (values <= limit[text]) & (sizes[text] >= max(least_words, words))
+        rank = np.arange(len(values)) - (np.cumsum(windows) - windows)[text]
+        keep = ((values <= limit[text]) | (rank < floor)) & (sizes[text] >= max(least_words, words))
         values, text = values[keep], text[keep]
-        order = np.lexsort((values, text))
-        values, text = values[order], text[order]
-        first = np.ones(len(values), bool)
-        first[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
-        values, text = values[first], text[first]
         rows = np.flatnonzero(sizes >= max(least_words, words))
         ends = np.zeros(len(rows) + 1, dtype=np.int32)
         ends[1:] = np.searchsorted(text, rows, side="right")
         copy = [xxhash.xxh3_64_intdigest(hashes[places[r] : places[r + 1]].tobytes()) for r in rows]
+        sequences = np.bincount(_distinct(*batch_rolling(hashes, places, words))[1], minlength=len(sizes))
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("kind").take(pa.array(rows)), batch.column("id").take(pa.array(rows)), pa.array(sizes[rows], pa.int64()),
+                batch.column("kind").take(pa.array(rows)), batch.column("id").take(pa.array(rows)), pa.array(sizes[rows], pa.int64()), pa.array(sequences[rows], pa.int64()),
                 pa.array(np.array(copy, dtype=np.uint64).view(np.int64), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(values.view(np.int64))),
             ],
-            ["kind", "id", "n", "copy", "tokens"],
+            ["kind", "id", "n", "m", "copy", "tokens"],
         )
 
 
-def _sets(batches, words: int):
-    for batch in slices(batches):
-        # 32 bits of each sequence are enough within a pair
-        sets = [np.unique(rolling(word_hashes(t), words).astype(np.uint32)).view(np.int32) for t in batch.column("text").to_pylist()]
-        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("id"), pa.ListArray.from_arrays(ends, flat)], ["kind", "id", "sequences"])
+def _similar(batches, words: int):
+    """Similarity of the sets of word sequences of two texts."""
+    for batch in slices(batches, "ta"):
+        sets: dict[int, np.ndarray] = {}
+        found = []
+        for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))):
+            for cid, text in ((a, ta), (b, tb)):
+                if cid not in sets:
+                    sets[cid] = np.unique(rolling(word_hashes(text), words))
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            found.append(both / (len(sets[a]) + len(sets[b]) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
 
 def near_duplicates(
@@ -83,9 +101,11 @@ def near_duplicates(
     least_words: int = 1,
     token_words: int = 6,
     sample: int = 20,
+    floor: int = 4,
     least_share: float = 0.15,
     pair_share: float = 0.15,
     group_rows: int = 64,
+    hot_rows: int = 4_096,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Texts of like content within each ``kind``.
 
@@ -94,7 +114,7 @@ def near_duplicates(
 
     Returns three tables:
     ``members`` (kind, id, copy, n): the class of copies of each key, and its number of words;
-    ``classes`` (cid, kind, copy, n, id): each class with its least id;
+    ``classes`` (cid, kind, copy, n, m, id): each class with its number of different word sequences and its least id;
     ``links`` (a, b, similarity): each pair of different classes (cids) at or over ``similarity``, once.
     """
     prefer_hash_joins(texts.sparkSession)
@@ -102,12 +122,12 @@ def near_duplicates(
         F.col("id").isNotNull() & F.col("kind").isNotNull() & F.col("text").isNotNull()
     )
     sketch = materialise(
-        source.mapInArrow(lambda b: _sketches(b, words, least_words, token_words, sample), _SKETCH), "sketch"
+        source.mapInArrow(lambda b: _sketches(b, words, least_words, token_words, sample, floor), _SKETCH), "sketch"
     )
     members = sketch.select("kind", "id", "copy", "n").dropDuplicates(["kind", "id"])
     classes = materialise(
         sketch.groupBy("kind", "copy", "n")
-        .agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
+        .agg(F.min("id").alias("id"), F.first("m").alias("m"), F.first("tokens").alias("tokens"))
         .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
@@ -117,77 +137,73 @@ def near_duplicates(
     counts = tokens.groupBy("token").count().where("count > 1")
     shared = materialise(tokens.join(counts, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("by")), "shared")
     rare = (
-        classes.select("cid", F.size("tokens").alias("all"))
+        classes.select("cid", "m", F.size("tokens").alias("all"))
         .join(shared, "cid")
         .withColumn("need", F.greatest(F.lit(1), F.round(F.col("all") * least_share).cast("int")))
         .where("size(by) >= need")
         .select(
-            "cid", "need", "all",
+            "cid", "m", "need", "all",
             F.expr("transform(by, x -> x.token)").alias("tokens"),
-            F.expr("transform(slice(by, 1, size(by) - need + 1), x -> x.token)").alias("rare"),
+            F.expr("slice(by, 1, size(by) - need + 1)").alias("rare"),
         )
+        # texts of a group are of like size, and only those of the same or the next size can be similar enough
         .withColumn("key", F.array_min("tokens"))
+        .withColumn("size", F.floor(F.log(F.greatest(F.lit(1), F.col("m"))) / F.log(F.lit(1 / similarity)) + 1e-9) if similarity < 1 else F.col("m"))
     )
-    sizes = rare.groupBy("key").agg(F.count("*").alias("rows"))
+    sizes = rare.groupBy("key", "size").agg(F.count("*").alias("rows"))
     grouped = materialise(
-        rare.join(sizes, "key")
-        .withColumn("gid", F.xxhash64("key", F.pmod(F.xxhash64("cid"), F.ceil(F.col("rows") / group_rows))))
+        rare.join(sizes, ["key", "size"])
+        .withColumn("gid", F.xxhash64("key", "size", F.pmod(F.xxhash64("cid"), F.ceil(F.col("rows") / group_rows))))
         .drop("key", "rows"),
         "grouped",
     )
 
-    # the matrix: the union of each group's tokens; a text meets the groups that hold one of its rare tokens
-    matrix = grouped.select("gid", F.explode("rare").alias("token")).distinct()
+    # the matrix: the union of each group's tokens; a text meets the groups that hold one of its rare tokens. The groups of a hot
+    # token are dealt to several keys, and a text looks each of them up
+    parts = F.ceil(F.col("r.count") / hot_rows)
+    matrix = grouped.select("gid", "size", F.explode("rare").alias("r")).select("gid", "size", F.col("r.token").alias("token"), F.pmod(F.xxhash64("gid"), parts).alias("part")).distinct()
     unions = grouped.select("gid", F.explode("tokens").alias("token")).groupBy("gid").agg(F.collect_set("token").alias("union"))
-    met = (
-        grouped.select("cid", F.col("gid").alias("own"), F.explode("rare").alias("token"))
-        .join(matrix, "token")
-        .where("own <= gid")
-        .select("cid", "gid")
-        .distinct()
-    )
+    looked = grouped.select("cid", F.col("gid").alias("own"), F.col("size").alias("mine"), F.explode("rare").alias("r"))
+    looked = looked.select("cid", "own", "mine", F.col("r.token").alias("token"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    met = looked.join(matrix, ["token", "part"]).where("own <= gid and abs(mine - size) <= 1").select("cid", "gid").distinct()
+    asking = grouped.select("cid", "need", "all", "m", "tokens", F.col("gid").alias("own"))
     opened = (
-        met.join(unions, "gid")
-        .join(grouped.select("cid", "need", "all", "tokens", F.col("gid").alias("own")), "cid")
+        met.join(asking, "cid")
+        .join(unions, "gid")
         .where("size(array_intersect(tokens, union)) >= need")
-        .select("gid", F.col("own"), F.col("cid").alias("a"), F.col("tokens").alias("ta"), F.col("all").alias("alla"))
+        .select("gid", "own", F.col("cid").alias("a"), F.col("tokens").alias("ta"), F.col("all").alias("alla"), F.col("m").alias("ma"))
     )
-    inside = grouped.select("gid", F.col("cid").alias("b"), F.col("tokens").alias("tb"), F.col("all").alias("allb"))
+    inside = grouped.select("gid", F.col("cid").alias("b"), F.col("tokens").alias("tb"), F.col("all").alias("allb"), F.col("m").alias("mb"))
     pairs = materialise(
         opened.join(inside, "gid")
         .where("(own < gid or a < b) and a != b")
+        .where(F.least("ma", "mb") >= similarity * F.greatest("ma", "mb") - 1e-9)
         .where(F.size(F.array_intersect("ta", "tb")) >= F.greatest(F.lit(1), F.round(pair_share * F.greatest("alla", "allb")).cast("int")))
         .select("a", "b"),
         "pairs",
     )
 
-    # exact check on the whole sets of those classes that are in some pair
+    # exact check on the whole texts of those classes that are in some pair
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "kind", "id"), "cid")
-    # a record delivered twice has its set twice; links are made distinct
-    sets = source.join(wanted, ["kind", "id"]).select("kind", F.col("cid").cast("string").alias("id"), "text")
-    sets = materialise(sets.mapInArrow(lambda b: _sets(b, words), _SETS).select(F.col("id").cast("long").alias("cid"), "sequences"), "sets")
-    links = (
-        pairs.join(sets.select(F.col("cid").alias("a"), F.col("sequences").alias("sa")), "a")
-        .join(sets.select(F.col("cid").alias("b"), F.col("sequences").alias("sb")), "b")
-        .withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        .withColumn("similarity", F.col("both") / (F.size("sa") + F.size("sb") - F.col("both")))
-        .where(F.col("similarity") >= similarity)
-        .select("a", "b", "similarity")
-        .dropDuplicates(["a", "b"])
-    )
+    whole = materialise(source.join(wanted, ["kind", "id"]).select("cid", "text").dropDuplicates(["cid"]), "whole")
+    both = pairs.join(whole.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
+    links = both.mapInArrow(lambda x: _similar(x, words), _SIMILAR).where(F.col("similarity") >= similarity)
     return members, classes.drop("tokens"), materialise(links, "links")
 
 
-def pairs_of_records(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Each pair of different keys that are copies or near-duplicates: kind, id_a < id_b as strings."""
-    of = members.join(classes.select("kind", "copy", "n", "cid"), ["kind", "copy", "n"]).select("cid", "kind", "id")
+def pairs_of_records(members: DataFrame, classes: DataFrame, links: DataFrame, copies_each: int = 256) -> DataFrame:
+    """Each pair of different keys that are copies or near-duplicates: kind, id_a < id_b as strings.
+
+    Copies are paired in parts of about ``copies_each``, so that no task holds all of a class.
+    """
+    of = materialise(members.join(classes.select("kind", "copy", "n", "cid"), ["kind", "copy", "n"]).select("cid", "kind", "id"), "of")
     left, right = (of.select(F.col("cid").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("kind", "id"))) for c in "ab")
-    across = links.join(left, "a").join(right, "b").select(F.col("kind_a").alias("kind"), F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    several = of.groupBy("cid").count().where("count > 1").select("cid")
+    across = links.select("a", "b").join(left, "a").join(right, "b").select(F.col("kind_a").alias("kind"), F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    several = of.groupBy("cid").agg(F.count("*").alias("rows")).where("rows > 1").withColumn("parts", F.ceil(F.col("rows") / copies_each)).drop("rows")
     copies = of.join(several, "cid")
     same = (
-        copies.select("cid", "kind", F.col("id").alias("id_a"))
-        .join(copies.select("cid", F.col("id").alias("id_b")), "cid")
+        copies.select("cid", "kind", F.col("id").alias("id_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        .join(copies.select("cid", F.col("id").alias("id_b"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")), ["cid", "part"])
         .where("id_a < id_b")
         .select("kind", "id_a", "id_b")
     )

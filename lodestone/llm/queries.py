@@ -24,18 +24,19 @@ def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return scans.paragraphs(table(spark, folder, "document_pages"))
 
 
-def _near(spark: SparkSession, folder: str):
-    return near_dup.near_duplicates(pages_and_chunks(spark, folder), words=3, similarity=0.5, least_words=20)
+_NEAR = {"words": 3, "similarity": 0.5, "least_words": 20}
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dup.pairs_of_records(*_near(spark, folder)).withColumnRenamed("kind", "record_kind")
+    found = near_dup.near_duplicates(pages_and_chunks(spark, folder), **_NEAR)
+    return near_dup.pairs_of_records(*found).withColumnRenamed("kind", "record_kind")
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a record with its group, among pages and among chunks as in p2_found."""
-    found = near_dup.groups_of_records(*_near(spark, folder))
-    return found.select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"), "group_id", "copies", "links")
+    """One row a record with its group, over pages and chunks together."""
+    texts = pages_and_chunks(spark, folder).select(F.lit("record").alias("kind"), F.concat_ws(":", "kind", "id").alias("id"), "text").where("id like '%:_%'")
+    found = near_dup.groups_of_records(*near_dup.near_duplicates(texts, **_NEAR))
+    return found.select(F.substring_index("id", ":", 1).alias("record_kind"), F.regexp_replace("id", "^[^:]*:", "").alias("record_id"), "group_id", "copies", "links")
 
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,6 +133,14 @@ SQL: dict[str, str] = {
         n AS (SELECT record_kind, id, count(*) AS n FROM s GROUP BY ALL),
         b AS (SELECT x.record_kind, x.id AS id_a, y.id AS id_b, count(*) AS b FROM s x JOIN s y ON x.record_kind = y.record_kind AND x.g = y.g AND x.id < y.id GROUP BY ALL)
         SELECT b.record_kind, id_a, id_b FROM b JOIN n x ON x.record_kind = b.record_kind AND x.id = id_a JOIN n y ON y.record_kind = b.record_kind AND y.id = id_b WHERE 2 * b >= x.n + y.n - b""",
+    "p2_groups": f"""WITH RECURSIVE {_TEXTS}, w AS (SELECT record_kind, id, record_kind || ':' || id AS k, {_WORDS.format(x='text')} AS w FROM t),
+        c AS (SELECT *, min(k) OVER (PARTITION BY w) AS c, count(*) OVER (PARTITION BY w) AS copies FROM w WHERE len(w) >= 20),
+        s AS (SELECT DISTINCT c, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS g FROM c WHERE k = c),
+        n AS (SELECT c, count(*) AS n FROM s GROUP BY ALL), b AS (SELECT x.c AS a, y.c AS b, count(*) AS b2 FROM s x JOIN s y ON x.g = y.g AND x.c != y.c GROUP BY ALL),
+        e AS (SELECT a, b FROM b JOIN n x ON x.c = a JOIN n y ON y.c = b WHERE 2 * b2 >= x.n + y.n - b2),
+        r(a, b) AS (SELECT c, c FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), g AS (SELECT a AS c, min(b) AS group_id FROM r GROUP BY ALL),
+        l AS (SELECT a AS c, count(*) AS links FROM e GROUP BY ALL)
+        SELECT record_kind, id AS record_id, group_id, copies, coalesce(links, 0) AS links FROM c JOIN g USING (c) LEFT JOIN l USING (c)""",
     "p3_found": rf"WITH {_TEXTS} SELECT record_kind, id AS record_id FROM t WHERE len(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\p{{Z}}]')) > 550",
     "p6_found": f"""WITH i AS (SELECT id AS item_id, {_WORDS.format(x='context')} AS c, {_WORDS.format(x='original_question')} AS q FROM sufficiency_benchmark),
         k AS (SELECT item_id, 13 AS n, unnest(list_transform(range(1, len(c) - 11), lambda j: array_to_string(c[j : j + 12], ' '))) AS g FROM i UNION ALL SELECT item_id, len(q), array_to_string(q, ' ') FROM i WHERE len(q) > 0),

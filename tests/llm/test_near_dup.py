@@ -92,3 +92,41 @@ def test_chain_is_one_component(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "kind string, id string, text string")
     assert near_dup.pairs_of_records(*near_dup.near_duplicates(df)).count() == 0
+
+
+def test_text_that_repeats_itself(spark):
+    """A text of one paragraph said many times has few different windows; all that it shares is still found."""
+    rng = random.Random(8)
+    rows = []
+    for d in range(12):
+        paragraph = " ".join(rng.choice(WORDS) for _ in range(60))
+        rows += [("page", f"{d}-a", " ".join([paragraph] * 30)), ("page", f"{d}-b", " ".join([paragraph] * 25))]
+    df = spark.createDataFrame(rows, "kind string, id string, text string")
+    got = {tuple(r) for r in near_dup.pairs_of_records(*near_dup.near_duplicates(df, 3, 0.5, 20)).select("kind", "id_a", "id_b").collect()}
+    assert got == brute(rows, 3, 0.5, 20) and len(got) >= 12
+
+
+def test_hot_tokens_and_many_copies_in_parts(spark):
+    """Texts with a paragraph in common, and copies of one text: split keys give the same pairs as whole ones."""
+    rng = random.Random(9)
+    shared = " ".join(rng.choice(WORDS) for _ in range(25))
+    rows = [("page", f"p{i}", f"{shared} " + " ".join(rng.choice(WORDS) for _ in range(rng.choice([8, 10, 200])))) for i in range(80)]
+    rows += [("page", f"c{i}", "one text that is given many times over and over " * 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "kind string, id string, text string")
+    whole = near_dup.near_duplicates(df, 3, 0.5, 20)
+    split = near_dup.near_duplicates(df, 3, 0.5, 20, group_rows=4, hot_rows=5)
+    pairs = lambda found, **how: sorted(tuple(r) for r in near_dup.pairs_of_records(*found, **how).select("kind", "id_a", "id_b").collect())
+    want = brute(rows, 3, 0.5, 20)
+    assert pairs(whole) == pairs(split) == pairs(split, copies_each=3)
+    assert set(pairs(whole)) <= want and len(pairs(whole)) >= 0.97 * len(want) and len(want) > 900
+
+
+def test_groups_reach_over_kinds(spark, tmp_path):
+    from lodestone.llm.queries import p2_groups
+
+    rng = random.Random(10)
+    page, other = (" ".join(rng.choice(WORDS) for _ in range(80)) for _ in range(2))
+    spark.createDataFrame([(1, page), (2, other), (None, page)], "page_id long, text string").write.parquet(f"{tmp_path}/document_pages.parquet")
+    spark.createDataFrame([("x", page.rsplit(" ", 8)[0]), ("y", page.upper()), ("z", page[:40])], "chunk_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {(r.record_kind, r.record_id): (r.group_id, r.copies, r.links) for r in p2_groups(spark, str(tmp_path)).collect()}
+    assert got == {("page", "1"): ("chunk:x", 2, 1), ("chunk", "x"): ("chunk:x", 1, 1), ("chunk", "y"): ("chunk:x", 2, 1), ("page", "2"): ("page:2", 1, 0)}
