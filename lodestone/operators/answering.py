@@ -77,3 +77,60 @@ def merged(first: DataFrame, more: DataFrame) -> DataFrame:
     both = first.select("qid", "chunk_id", F.lit(1).cast("long").alias("pass"), "rank").unionByName(more.select("qid", "chunk_id", F.lit(2).cast("long").alias("pass"), "rank"))
     kept = both.groupBy("qid", "chunk_id").agg(F.min(F.struct("pass", "rank")).alias("x")).select("qid", "chunk_id", "x.pass", "x.rank")
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("pass", "rank")).cast("long"))
+
+
+def citation_label(name, page, chunk):
+    """``[name, Page p, Chunk id]``; what is null is left out."""
+    return F.concat(F.lit("["), F.concat_ws(", ", name, F.concat(F.lit("Page "), page.cast("string")), F.concat(F.lit("Chunk "), chunk)), F.lit("]"))
+
+
+def paged_context(rows: DataFrame) -> DataFrame:
+    """qid, context: the evidence of a question as one text, each piece after ``[name, Page p]: `` (the page is left out where it is null)."""
+    source = F.concat_ws(", ", "document_name", F.concat(F.lit("Page "), F.col("page").cast("string")))
+    line = F.concat(F.lit("["), source, F.lit("]: "), F.coalesce("text", F.lit("")))
+    return rows.select("qid", "rank", line.alias("line")).groupBy("qid").agg(F.array_join(F.transform(in_order("rank", "line"), lambda x: x["line"]), "\n\n").alias("context"))
+
+
+def first_wins(hits: DataFrame) -> DataFrame:
+    """``hits`` (qid, place, sid, corpus_id, document_id, text) without repeats, in the order of place.
+
+    A hit is dropped where its id, or its corpus, document and text (in lower case, white space collapsed), were kept before; one that was
+    dropped bars nothing after it. So the order decides, and a question's hits (bounded by the search) are gone through as one array.
+    """
+    digest = F.sha2(T.normalised(F.col("text")), 256)
+    key = F.concat_ws("\x1f", F.coalesce("corpus_id", F.lit("")), F.coalesce("document_id", F.lit("")), digest)
+    rows = hits.select("qid", "place", "sid", "corpus_id", "document_id", key.alias("key")).groupBy("qid").agg(in_order("place", "sid", "key", "corpus_id", "document_id").alias("l"))
+    none = F.slice("l", 1, 0)
+    fresh = lambda kept, x: ~F.exists(kept, lambda k: (k["sid"] == x["sid"]) | (k["key"] == x["key"]))
+    kept = F.aggregate("l", none, lambda kept, x: F.when(fresh(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    return rows.select("qid", F.explode(kept).alias("x")).select("qid", "x.place", "x.sid", "x.corpus_id", "x.document_id")
+
+
+#: What is said where the evidence does not bear an answer.
+NO_ANSWER = "No grounded answer is available from the retrieved context."
+CONFLICTING = "Conflicting evidence prevents a definitive grounded answer."
+INCOMPLETE = "Partial evidence found; missing facts remain."
+INSUFFICIENT = "Insufficient context for a definitive grounded answer."
+
+
+def guarded(answers: DataFrame, snippets: DataFrame) -> DataFrame:
+    """qid, status, answer, claims, dropped: an answer as its evidence allows it.
+
+    ``answers``: qid, answer, answer_status (of the draft), label (as judged), missing (number of facts without support), claims
+    (array of struct of claim_no and sids). A sufficient label leaves the answer as it is, with ``answer_status``; a useful
+    or conflicting one makes it partial; any other takes answer and citations away. Citations of snippets that are not there
+    are left out, and claims without one are dropped; an answer that loses a claim is partial. ``claims``: claim_no and sids of the claims
+    left, ``dropped``: how many were lost.
+    """
+    known = snippets.groupBy("qid").agg(F.collect_set("sid").alias("known"))
+    partial = F.col("label").isin("useful_but_incomplete", "conflicting")
+    said = (
+        F.when(F.col("label") == "sufficient", F.col("answer")).when(F.col("label") == "conflicting", CONFLICTING)
+        .when(partial & (F.col("answer_status") == "partial") & (F.col("answer") != ""), F.col("answer")).when(partial & (F.col("missing") > 0), INCOMPLETE).when(partial, INSUFFICIENT).otherwise(NO_ANSWER)
+    )
+    rows = answers.join(known, "qid", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    rows = rows.withColumn("given", F.when((F.col("label") == "sufficient") | partial, F.col("claims")).otherwise(F.slice("claims", 1, 0)))
+    left = F.filter(F.transform("given", lambda c: F.struct(c["claim_no"].alias("claim_no"), F.array_intersect(c["sids"], F.col("known")).alias("sids"))), lambda c: F.size(c["sids"]) > 0)
+    rows = rows.withColumn("left", left).withColumn("dropped", (F.size("given") - F.size("left")).cast("long"))
+    status = F.when(F.col("dropped") > 0, "partial").when(F.col("label") == "sufficient", F.col("answer_status")).when(partial, "partial").otherwise("unanswerable")
+    return rows.select("qid", status.alias("status"), F.coalesce(said, F.lit("")).alias("answer"), F.col("left").alias("claims"), "dropped")

@@ -35,6 +35,19 @@ def conflicts(snippets: DataFrame) -> DataFrame:
     return groups.join(several, "qid", "left_semi")
 
 
+def fact_conflicts(facts: DataFrame, snippets: DataFrame) -> DataFrame:
+    """qid, fact_no, term, sids: values of a fact on which the snippets that support it differ (two or more values are found).
+
+    ``facts``: as for ``support``, with ``conflict_terms`` array<string>, values that exclude each other; null or empty ones
+    conflict with nothing. A value is found where its text occurs, in lower case.
+    """
+    held = support(facts, snippets).join(snippets.select("qid", "sid", F.lower(F.coalesce("text", F.lit(""))).alias("t")), ["qid", "sid"])
+    terms = facts.select("qid", "fact_no", F.explode(F.array_distinct(F.transform("conflict_terms", F.lower))).alias("term"))
+    groups = held.join(terms, ["qid", "fact_no"]).where(F.contains("t", "term")).groupBy("qid", "fact_no", "term").agg(F.array_join(F.array_sort(F.collect_set("sid")), ",").alias("sids"))
+    several = groups.groupBy("qid", "fact_no").agg(F.count("*").alias("n")).where("n > 1").select("qid", "fact_no")
+    return groups.join(several, ["qid", "fact_no"], "left_semi")
+
+
 def unsupported(claims: DataFrame, snippets: DataFrame) -> DataFrame:
     """(qid, claim_no) of claims that cite nothing or a snippet that is not there. ``claims``: qid, claim_no, sids array<string>."""
     cited = claims.select("qid", "claim_no", F.explode_outer("sids").alias("sid"))
@@ -50,15 +63,22 @@ def known_citations(claims: DataFrame, snippets: DataFrame) -> DataFrame:
     return kept.join(all_claims.join(held, "qid").select("qid", (F.col("all") - F.col("held")).alias("dropped")), "qid")
 
 
-def assess(facts: DataFrame, snippets: DataFrame, claims: DataFrame) -> DataFrame:
+def assess(facts: DataFrame, snippets: DataFrame, claims: DataFrame, by_fact: bool = False) -> DataFrame:
     """qid, facts, covered, conflicts, unsupported, score, label: one row a question with facts.
 
+    Conflicts are numbers on which any snippets of the question differ, or with ``by_fact`` the facts whose ``conflict_terms`` the
+    snippets that support them differ on (see ``fact_conflicts``; without such a column there are none).
     The first that holds: conflicting; sufficient (no fact open and no claim unsupported); unanswerable (facts open and no
     snippet); useful_but_incomplete (some fact covered, none of the claims unsupported); insufficient.
     """
     total = facts.groupBy("qid").agg(F.count("*").alias("facts"))
     covered = support(facts, snippets).select("qid", "fact_no").distinct().groupBy("qid").agg(F.count("*").alias("covered"))
-    clash = conflicts(snippets).groupBy("qid").agg(F.count("*").alias("conflicts"))
+    if not by_fact:
+        clash = conflicts(snippets).groupBy("qid").agg(F.count("*").alias("conflicts"))
+    elif "conflict_terms" in facts.columns:
+        clash = fact_conflicts(facts, snippets).groupBy("qid").agg(F.count_distinct("fact_no").alias("conflicts"))
+    else:
+        clash = total.select("qid", F.lit(0).cast("long").alias("conflicts"))
     loose = unsupported(claims, snippets).groupBy("qid").agg(F.count("*").alias("unsupported"))
     seen = snippets.groupBy("qid").agg(F.count("*").alias("snippets"))
     rows = total.join(covered, "qid", "left").join(clash, "qid", "left").join(loose, "qid", "left").join(seen, "qid", "left").na.fill(0, ["covered", "conflicts", "unsupported", "snippets"])

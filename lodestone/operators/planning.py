@@ -17,9 +17,13 @@ def fact_key(description: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(T.ascii_tokens(description))), " ")
 
 
+def names(text: Column) -> Column:
+    """Runs of capitalised words, but for question words alone."""
+    return F.filter(F.regexp_extract_all(text, F.lit(_NAME), F.lit(0)), lambda n: ~n.isin(*T.QUESTION_WORDS))
+
+
 def _subject(clause: Column) -> Column:
-    names = F.filter(F.regexp_extract_all(clause, F.lit(_NAME), F.lit(0)), lambda n: ~n.isin(*T.QUESTION_WORDS))
-    return F.try_element_at(names, F.lit(-1))
+    return F.try_element_at(names(clause), F.lit(-1))
 
 
 def plan_facts(questions: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import tempfile
 import uuid
+import weakref
 import zipfile
 from functools import wraps
 from pathlib import Path
@@ -60,6 +61,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only where that is unset (as in tests), an own one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -73,7 +76,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(table)] = weakref.ref(table), path
+    return table
+
+
+_WRITTEN: dict[int, tuple] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once all that is computed from them is written itself; others are left alone."""
+    for table in tables:
+        found, path = _WRITTEN.pop(id(table), (lambda: None, None))
+        if found() is table:
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def prefer_hash_joins(spark: SparkSession) -> None:
