@@ -68,6 +68,11 @@ def _free_runs(words: np.ndarray, free: np.ndarray, length: int) -> tuple[np.nda
     return at, values[at]
 
 
+def _held(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in ``among`` (sorted, not empty)."""
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+
+
 def tile(doc: np.ndarray, passage: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (length, place in ``doc``, place in ``passage``) of each tile, longest first.
 
@@ -81,7 +86,8 @@ def tile(doc: np.ndarray, passage: np.ndarray, least: int) -> list[tuple[int, in
     free_d, free_p = np.ones(len(doc), bool), np.ones(len(passage), bool)
 
     def common(length: int) -> bool:
-        return bool(np.isin(_free_runs(doc, free_d, length)[1], _free_runs(passage, free_p, length)[1]).any())
+        among = np.sort(_free_runs(passage, free_p, length)[1])
+        return bool(len(among)) and bool(_held(_free_runs(doc, free_d, length)[1], among).any())
 
     tiles, high = [], min(len(doc), len(passage))
     while high >= least and common(least):
@@ -95,10 +101,11 @@ def tile(doc: np.ndarray, passage: np.ndarray, least: int) -> list[tuple[int, in
                 high, step = middle - 1, max(1, (middle - 1 - low) // 2)
         places: dict[int, list[int]] = {}
         at, values = _free_runs(passage, free_p, low)
+        among = np.sort(values)
         for p, value in zip(at[::-1].tolist(), values[::-1].tolist()):
             places.setdefault(value, []).append(p)  # the first is last
         at, values = _free_runs(doc, free_d, low)
-        hits = np.isin(values, np.fromiter(places, np.uint64, len(places)))
+        hits = _held(values, among)
         end = 0
         for d, value in zip(at[hits].tolist(), values[hits].tolist()):
             if d < end:

@@ -2,7 +2,7 @@
 
 Golden-ratio points are mapped through the cumulative weights, so each stretch of the schedule holds every source in
 its share. The slots of a source are ranked; its records, shuffled by a hash, are laid end to end and cut into blocks of
-equal tokens; the block of rank r fills the source's slot of rank r.
+equal tokens, also within a record; the block of rank r fills the source's slot of rank r.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import math
 from functools import partial
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,18 +26,22 @@ GOLDEN = (math.sqrt(5) - 1) / 2
 _ENCODINGS: dict = {}
 
 
-def _encoding(path: str):
-    if path not in _ENCODINGS:
+def _built(vocabulary: bytes):
+    key = hash(vocabulary)
+    if key not in _ENCODINGS:  # once a worker
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODINGS[path] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        _ENCODINGS[key] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODINGS[key]
+
 
+def _encoding(path: str):
+    return _built(Path(path).read_bytes())
 
-def _sizes(batches, path: str):
-    encoding = _encoding(path)
+
+def _sizes(batches, vocabulary):
+    encoding = _built(vocabulary.value)
     for batch in batches:
         sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(sizes, pa.int64())], ["doc_id", "source", "tokens"])
@@ -60,8 +65,19 @@ def _bits(rows: int, rows_each: int = 50_000) -> int:
     return max(0, math.ceil(math.log2(max(1, rows / rows_each))))
 
 
-def mix(documents: DataFrame, targets: DataFrame, block: int = 1024, total_tokens: int | None = None, seed: int = 7, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
-    """The mix and the shares it reaches.
+def mix(documents: DataFrame, targets: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """The mix of ``blocks`` (which see) with one row a use of a record, and the shares it reaches.
+
+    Returns ``mixed`` (slot, offset, doc_id, source, pass, tokens): where the record begins, and how many of its tokens are
+    used; what the slot cannot hold of it goes on in the source's next one. And ``shares``.
+    """
+    pieces, shares = blocks(documents, targets, **how)
+    mixed = pieces.groupBy("source", "doc_id", "pass").agg(F.min(F.struct("slot", "offset")).alias("at"), F.sum("tokens").alias("tokens"))
+    return mixed.select("at.slot", "at.offset", "doc_id", "source", "pass", "tokens"), shares
+
+
+def blocks(documents: DataFrame, targets: DataFrame, block: int = 1024, total_tokens: int | None = None, seed: int = 7, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+    """The mix as blocks of equal tokens, and the shares it reaches.
 
     ``documents``: doc_id long, text, source. ``targets``: source, target_share, max_repeats (at most a few thousand
     rows; they are planned on the driver with one token sum a source). Ids that come twice count once; documents with a null
@@ -69,14 +85,18 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = 1024, total_token
     share goes to the others in proportion. The total is the largest at which every usable source reaches its share
     within its repeats, or ``total_tokens``; with a larger one, sources that are used up fall short and the shares show it. Empty tables give an empty mix and shares of zero.
 
-    Returns ``mixed`` (slot, offset, doc_id, source, pass, tokens), read in order of slot and offset, and ``shares``
-    (source, target_share, max_repeats, available_tokens, used_tokens, actual_share, records, most_uses), a row a target.
+    Returns ``pieces`` (slot, offset, doc_id, source, pass, start, tokens), read in order of slot and offset: ``tokens`` tokens of the
+    record from its token ``start`` on, at ``offset`` in the slot. Every slot is full, but for the last of a source that is used up. And
+    ``shares`` (source, target_share, max_repeats, available_tokens, used_tokens, actual_share, records, most_uses), a row a target.
+    ``tokenizer`` is a file that only the driver reads.
     """
     spark = documents.sparkSession
     named = documents.select("doc_id", "text", source_name(F.col("source")).alias("source")).where("doc_id is not null and source is not null and length(text) > 0")
     named = named.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi") if targets.limit(10_001).count() <= 10_000 else named.join(targets.select("source"), "source", "left_semi")
-    sizes = named.select("doc_id", "source", "text").mapInArrow(partial(_sizes, path=tokenizer), "doc_id long, source string, tokens long")
+    vocabulary = spark.sparkContext.broadcast(Path(tokenizer).read_bytes())  # a vocabulary, some 1 MB
+    sizes = named.select("doc_id", "source", "text").mapInArrow(partial(_sizes, vocabulary=vocabulary), "doc_id long, source string, tokens long")
     sizes = materialise(sizes.where("tokens > 0").dropDuplicates(["doc_id"]), "sizes")
+    vocabulary.destroy()
     sums = {r.source: (r.tokens, r.rows) for r in sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).collect()}
     wanted = [(r.source, r.target_share, r.max_repeats) for r in targets.dropDuplicates(["source"]).select("source", "target_share", "max_repeats").orderBy("source").collect()]
     usable, most = plan_shares(wanted, {s: t for s, (t, _) in sums.items()})
@@ -97,11 +117,16 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = 1024, total_token
         F.col("id").alias("slot"), F.element_at(F.array(*[F.lit(n) for n in names] or [F.lit("")]), pick + 1).alias("source"),
         F.floor(F.col("id") / 65_536).alias("bucket"), F.lit(1).cast("long").alias("one"),
     )
-    schedule = total_before(schedule, ["source"], ["slot"], "one", "bucket").select("slot", "source", F.col("before").alias("block"))
+    schedule = materialise(total_before(schedule, ["source"], ["slot"], "one", "bucket").select("slot", "source", F.col("before").alias("block")), "schedule")
 
     # the records of each pass, shuffled, end to end
     parts = [(s, sums[s][0], min(r, -(-int(total * w + 3 * block) // sums[s][0])), math.ceil(total * w / block) + 3) for s, w, r in usable]
     limits = spark.createDataFrame(parts or [("", 1, 0, 0)], "source string, all long, passes int, blocks long")
+    if not total_tokens:
+        # the schedule ends where it would ask a source for a block that is not there
+        held = spark.createDataFrame([(s, -(-sums[s][0] * r // block)) for s, _, r in usable] or [("", 0)], "source string, held long")
+        end = schedule.join(F.broadcast(held), "source").where("block >= held").agg(F.min("slot")).first()[0]
+        schedule = schedule if end is None else schedule.where(F.col("slot") < end)
     bits = _bits(max([r for _, r in sums.values()], default=1))
     uses = (
         sizes.join(F.broadcast(limits), "source")  # a row a usable source
@@ -111,12 +136,15 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = 1024, total_token
         .withColumn("bucket", F.shiftright("order", 63 - bits) if bits else F.lit(0).cast("long"))
     )
     laid = total_before(uses, ["source", "pass"], ["order", "doc_id"], "tokens", "bucket")
-    place = F.col("pass") * F.col("all") + F.col("before")
-    laid = laid.withColumn("block", F.floor(place / block)).withColumn("offset", place % block).where("block < blocks")
-    mixed = schedule.join(laid, ["source", "block"]).select("slot", "offset", "doc_id", "source", F.col("pass") , "tokens")
-
-    used = materialise(mixed, "mixed")
-    per_record = used.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.sum("tokens").alias("tokens"))
+    laid = laid.withColumn("place", F.col("pass") * F.col("all") + F.col("before"))
+    first, last = F.floor(F.col("place") / block), F.floor((F.col("place") + F.col("tokens") - 1) / block)
+    laid = laid.withColumn("block", F.explode(F.sequence(first, last))).where("block < blocks")
+    start, end = F.greatest(F.lit(0).cast("long"), F.col("block") * block - F.col("place")), F.least("tokens", (F.col("block") + 1) * block - F.col("place"))
+    laid = laid.select("source", "block", "doc_id", "pass", start.alias("start"), (end - start).alias("tokens"), (F.col("place") + start - F.col("block") * block).alias("offset"))
+    used = materialise(schedule.join(laid, ["source", "block"]).select("slot", "offset", "doc_id", "source", "pass", "start", "tokens"), "mixed")
+    # a record's pieces of one pass are one use
+    per_use = used.groupBy("source", "doc_id", "pass").agg(F.sum("tokens").alias("tokens"))
+    per_record = per_use.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.sum("tokens").alias("tokens"))
     per_source = per_record.groupBy("source").agg(F.sum("tokens").alias("used_tokens"), F.count("*").alias("records"), F.max("uses").alias("most_uses"))
     available = sizes.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
     whole = per_source.agg(F.sum("used_tokens").alias("whole"))

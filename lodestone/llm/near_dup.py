@@ -31,19 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.text import batch_hashes, batch_rolling, mixed, rolling, slices, word_hashes
-from lodestone.session import materialise, prefer_hash_joins
+from lodestone.session import materialise, prefer_hash_joins, release
 
 _SKETCH = "kind string, id string, n long, m long, copy long, tokens array<long>"
 _SIMILAR = "a long, b long, similarity double"
 
 
+#: Bits of a window's value that stand beside the number of its text in a slice of at most 2,048 texts.
+_BITS = np.uint64(53)
+
+
 def _distinct(values: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values without those that their text has already, by text and value."""
-    order = np.lexsort((values, text))
-    values, text = values[order], text[order]
-    first = np.ones(len(values), bool)
-    first[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
-    return values[first], text[first]
+    """Values (their upper 53 bits) without those that their text has already, by text and value: one sort of numbers that hold both."""
+    both = np.sort((text.astype(np.uint64) << _BITS) | (values >> (np.uint64(64) - _BITS)))
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    return both << (np.uint64(64) - _BITS), (both >> _BITS).astype(np.int64)
 
 
 def _sketches(batches, words: int, least_words: int, token_words: int, sample: int, floor: int):
@@ -80,17 +82,24 @@ def _sketches(batches, words: int, least_words: int, token_words: int, sample: i
         )
 
 
-def _similar(batches, words: int):
-    """Similarity of the sets of word sequences of two texts."""
+def _similar(batches, words: int, most: int = 4_000_000):
+    """Similarity of the sets of word sequences of two texts. Sets are kept while they hold no more than ``most`` values."""
+    sets: dict[int, np.ndarray] = {}
+    held = 0
     for batch in slices(batches, "ta"):
-        sets: dict[int, np.ndarray] = {}
         found = []
         for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))):
+            if held > most:
+                sets, held = {}, 0
             for cid, text in ((a, ta), (b, tb)):
                 if cid not in sets:
                     sets[cid] = np.unique(rolling(word_hashes(text), words))
-            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            found.append(both / (len(sets[a]) + len(sets[b]) - both))
+                    held += len(sets[cid])
+            x, y = sets[a], sets[b]
+            if len(x) > len(y):
+                x, y = y, x
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+            found.append(both / max(1, len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
 
@@ -124,20 +133,22 @@ def near_duplicates(
     sketch = materialise(
         source.mapInArrow(lambda b: _sketches(b, words, least_words, token_words, sample, floor), _SKETCH), "sketch"
     )
-    members = sketch.select("kind", "id", "copy", "n").dropDuplicates(["kind", "id"])
-    classes = materialise(
+    members = materialise(sketch.select("kind", "id", "copy", "n").dropDuplicates(["kind", "id"]), "members")
+    sketched = materialise(
         sketch.groupBy("kind", "copy", "n")
         .agg(F.min("id").alias("id"), F.first("m").alias("m"), F.first("tokens").alias("tokens"))
         .withColumn("cid", F.monotonically_increasing_id()),
-        "classes",
+        "sketched",
     )
+    release(sketch)
+    classes = materialise(sketched.drop("tokens"), "classes")
 
     # tokens that at least two classes have, rarest first; the last few of a class need not be looked up
-    tokens = classes.select("cid", F.explode("tokens").alias("token"))
+    tokens = sketched.select("cid", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").count().where("count > 1")
     shared = materialise(tokens.join(counts, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("by")), "shared")
     rare = (
-        classes.select("cid", "m", F.size("tokens").alias("all"))
+        sketched.select("cid", "m", F.size("tokens").alias("all"))
         .join(shared, "cid")
         .withColumn("need", F.greatest(F.lit(1), F.round(F.col("all") * least_share).cast("int")))
         .where("size(by) >= need")
@@ -157,6 +168,7 @@ def near_duplicates(
         .drop("key", "rows"),
         "grouped",
     )
+    release(sketched, shared)
 
     # the matrix: the union of each group's tokens; a text meets the groups that hold one of its rare tokens. The groups of a hot
     # token are dealt to several keys, and a text looks each of them up
@@ -182,13 +194,16 @@ def near_duplicates(
         .select("a", "b"),
         "pairs",
     )
+    release(grouped)
 
     # exact check on the whole texts of those classes that are in some pair
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "kind", "id"), "cid")
     whole = materialise(source.join(wanted, ["kind", "id"]).select("cid", "text").dropDuplicates(["cid"]), "whole")
     both = pairs.join(whole.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
     links = both.mapInArrow(lambda x: _similar(x, words), _SIMILAR).where(F.col("similarity") >= similarity)
-    return members, classes.drop("tokens"), materialise(links, "links")
+    links = materialise(links, "links")
+    release(pairs, whole)
+    return members, classes, links
 
 
 def pairs_of_records(members: DataFrame, classes: DataFrame, links: DataFrame, copies_each: int = 256) -> DataFrame:
@@ -225,7 +240,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = materialise(small, "edges")
+        edges, done = materialise(small, "edges"), edges
+        release(done)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -21,7 +21,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.paragraphs(table(spark, folder, "document_pages"))
+    """Continuous paragraphs of each file in page order."""
+    return scans.continuous(scans.paragraphs(table(spark, folder, "document_pages")))
 
 
 _NEAR = {"words": 3, "similarity": 0.5, "least_words": 20}
@@ -86,11 +87,12 @@ def p6_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+    """Pieces of records in slots of 1,024 tokens each."""
+    return mixing.blocks(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+    return mixing.blocks(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
 def _areas(spark: SparkSession, folder: str) -> DataFrame:

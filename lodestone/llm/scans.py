@@ -12,12 +12,15 @@ of a file is found by a join on file and page number, so a file may hold any sha
 
 from __future__ import annotations
 
+from functools import partial
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.session import materialise, prefer_hash_joins
+from lodestone.operators.running import total_before
+from lodestone.session import materialise, prefer_hash_joins, release
 
 #: What scanning makes of a glyph or of two.
 CONFUSIONS = {
@@ -64,9 +67,9 @@ def explained(form: str, word: str, most: int = 2) -> bool:
     return False
 
 
-def _explained(batches):
+def _explained(batches, most: int):
     for batch in batches:
-        keep = [explained(f, w) for f, w in zip(batch.column("form").to_pylist(), batch.column("word").to_pylist())]
+        keep = [explained(f, w, most) for f, w in zip(batch.column("form").to_pylist(), batch.column("word").to_pylist())]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
@@ -171,38 +174,46 @@ _MIXED = r"^(?=.*\p{L}.*\p{L})(?:\p{L}|[-'])*(?:[@+!$]|[0-9](?!\d))(?:\p{L}|[-'@
 _ORDINAL = r"^\d+(?:st|nd|rd|th|s|e)$"
 
 
-def misread_forms(counts: DataFrame, ratio: int = 12, rate: float = 0.005) -> DataFrame:
-    """Forms that are misreadings: form, word (what it should be, null if nothing known), words (all that explain it).
+def misread_forms(counts: DataFrame, ratio: int = 12, rate: float = 0.005, confusions: int = 2) -> DataFrame:
+    """Forms that are, or may be, misreadings: form, word (what it should be, null if nothing known), words (all that explain it), sure.
 
-    A form is one where a form of its skeleton is ``ratio`` times as frequent, a confusion explains it and no more than about
-    ``rate`` of the other's occurrences are so misread (a form that is always written with a capital, unlike the other, is a
-    name); or where glyphs that no word holds stand between letters.
+    A form is one where a form of its skeleton is ``ratio`` times as frequent and at most ``confusions`` confusions explain it (a form
+    that is always written with a capital, unlike the other, is a name); or where glyphs that no word holds stand between
+    letters. It is sure where no more than about ``rate`` of the other's occurrences are so misread; else it may be a word of its own, and what
+    stands before each of its tokens decides.
     """
     counts = counts.where(F.length("form").between(2, 64) & F.col("form").rlike(r"\p{L}")).withColumn("skeleton", skeleton(F.col("form")))
     good = counts.where(F.col("form").rlike(_WORD)).select("skeleton", F.col("form").alias("word"), F.col("count").alias("often"), F.col("capital").alias("usual"))
-    # the likeliest words of a skeleton are enough, as the others are rare themselves
-    rank = Window.partitionBy("skeleton").orderBy(F.desc("often"), "word")
-    good = good.withColumn("rank", F.row_number().over(rank)).where("rank <= 5").drop("rank")
-    rarer = (F.col("often") >= ratio * F.col("count")) & (F.col("count") <= 3 + rate * F.col("often"))
     name = F.col("form").rlike(_WORD) & (F.col("capital") == 1) & (F.col("usual") < 0.03)
-    pairs = counts.join(good, "skeleton").where((F.col("form") != F.col("word")) & rarer & ~name).select("form", "word", "often")
-    sure = pairs.mapInArrow(_explained, "form string, word string, often long")
-    sure = sure.groupBy("form").agg(F.max_by("word", F.struct("often", "word")).alias("word"), F.collect_list("word").alias("words"))
+    pairs = counts.join(good, "skeleton").where((F.col("form") != F.col("word")) & (F.col("often") >= ratio * F.col("count")) & ~name)
+    pairs = pairs.select("form", "word", "often", (F.col("count") <= 3 + rate * F.col("often")).alias("rare"))
+    told = pairs.mapInArrow(partial(_explained, most=confusions), "form string, word string, often long, rare boolean")
+    told = told.groupBy("form").agg(F.max_by("word", F.struct("rare", "often", "word")).alias("word"), F.collect_list("word").alias("words"), F.max("rare").alias("sure"))
     odd = counts.where(F.col("form").rlike(_MIXED) & ~F.col("form").rlike(_ORDINAL) & ~F.col("form").contains("/")).select("form")
     digits = counts.where(F.col("form").rlike(r"^(?:[0-9]+[lo]+[0-9lo]*|[lo]+[0-9][0-9lo]*)$")).select("form")
-    return materialise(sure.unionByName(odd.unionByName(digits).distinct().join(sure.select("form"), "form", "left_anti").select("form", F.lit(None).cast("string").alias("word"), F.array().cast("array<string>").alias("words"))), "misread")
+    odd = odd.unionByName(digits).distinct().withColumn("odd", F.lit(True))
+    both = told.join(odd, "form", "full")
+    return materialise(both.select("form", "word", F.coalesce("words", F.array().cast("array<string>")).alias("words"), (F.coalesce("sure", F.lit(False)) | F.col("odd").isNotNull()).alias("sure")), "misread")
+
 
+def misread_tokens(body: DataFrame, forms: DataFrame, choose: bool = True, ratio: int = 12) -> DataFrame:
+    """Each misread token (page_id, line_no, at, token, form, word) with the word that stands for it.
 
-def misread_tokens(tokens: DataFrame, forms: DataFrame) -> DataFrame:
-    """Each misread token with the word that stands for it: of several, the one seen most after the word before it."""
-    hit = tokens.join(forms, "form")
-    several = hit.where("size(words) > 1").select("prev", F.explode("words").alias("form")).distinct()
-    pairs = tokens.join(several, ["prev", "form"], "left_semi").groupBy("prev", "form").agg(F.count("*").alias("seen"))
-    choice = pairs.groupBy("prev").agg(F.map_from_entries(F.collect_list(F.struct("form", "seen"))).alias("after"))
-    hit = hit.join(choice, "prev", "left")
-    backed = F.filter("words", lambda w: F.coalesce(F.try_element_at("after", w), F.lit(0)) > 0)
-    best = F.array_max(F.transform(backed, lambda w: F.struct(F.element_at("after", w).alias("seen"), w.alias("word"))))
-    return hit.withColumn("word", F.coalesce(best["word"], "word")).select("page_id", "line_no", "at", "token", "form", "word")
+    Of several words it is the one seen most after the word before it (with ``choose``; else any). A token whose form may be a word of its
+    own is one only where another word is seen ``ratio`` times as often in its place.
+    """
+    tokens = tokens_of(body, prev=True)
+    hit = materialise(tokens.join(forms, "form"), "hits")
+    open_ = hit.where("prev is not null and prev != ''").where(~F.col("sure") | (F.lit(choose) & (F.size("words") > 1))).select("prev", "form", "words").distinct()
+    asked = open_.select("prev", F.explode(F.array_union(F.array("form"), "words")).alias("form")).distinct()
+    # counted by pairs of words, so that no row gathers all that follows a word
+    seen = materialise(tokens.join(asked, ["prev", "form"], "left_semi").groupBy("prev", "form").agg(F.count("*").alias("seen")), "seen")
+    own = open_.select("prev", "form").join(seen, ["prev", "form"]).withColumnRenamed("seen", "own")
+    choice = open_.select("prev", "form", F.explode("words").alias("word")).join(seen.withColumnRenamed("form", "word"), ["prev", "word"])
+    choice = choice.groupBy("prev", "form").agg(F.max(F.struct("seen", "word")).alias("best")).join(own, ["prev", "form"])
+    choice = choice.select("prev", "form", F.col("best.word").alias("better"), (F.col("best.seen") >= ratio * F.col("own")).alias("backed"))
+    hit = hit.join(choice, ["prev", "form"], "left").where("sure or coalesce(backed, false)")
+    return hit.select("page_id", "line_no", "at", "token", "form", F.coalesce("better", "word").alias("word"))
 
 
 def breaks(body: DataFrame, counts: DataFrame) -> DataFrame:
@@ -226,24 +237,26 @@ def breaks(body: DataFrame, counts: DataFrame) -> DataFrame:
     return both.where((F.length("head") > 0) & (~plain | by_counts)).where(F.col("last") | (F.col("tail") != "") | ~plain).select("page_id", "line_no", "head", "tail", "mark")
 
 
-def _parts(pages: DataFrame):
+def _parts(pages: DataFrame, edge: int = 3):
     prefer_hash_joins(pages.sparkSession)
     lines = materialise(lines_of(pages), "lines")
-    furnished = materialise(furniture(lines), "furniture")
+    furnished = materialise(furniture(lines, edge), "furniture")
     body = materialise(across_pages(body_of(lines, furnished)), "body")
-    tokens = tokens_of(body)  # not kept, as they take more room than the text
-    return lines, furnished, body, tokens, materialise(form_counts(tokens), "forms")
+    # tokens are not kept, as they take more room than the text
+    return lines, furnished, body, materialise(form_counts(tokens_of(body)), "forms")
 
 
-def noise(pages: DataFrame) -> DataFrame:
+def noise(pages: DataFrame, edge: int = 3, ratio: int = 12, rate: float = 0.005, confusions: int = 2) -> DataFrame:
     """Lines with noise: page_id, line_no (from 1), kind (running_line, page_number, hyphen_break or misread), one row a kind.
 
     ``pages``: page_id, document_id, document_name, source_path, page, text. A page_id that comes twice counts once; null
     and empty texts have no lines. Pages without a number are in no order: breaks at their ends are judged by the half that is there.
+    Running lines and page numbers are sought among the ``edge`` first and last lines of a page that are not blank; for the others
+    see ``misread_forms``.
     """
-    _, furnished, body, tokens, counts = _parts(pages)
-    forms = misread_forms(counts)
-    wrong = tokens.join(forms, "form", "left_semi").select("page_id", "line_no")
+    lines, furnished, body, counts = _parts(pages, edge)
+    release(lines)
+    wrong = misread_tokens(body, misread_forms(counts, ratio, rate, confusions), False, ratio).select("page_id", "line_no")
     stray = body.where(F.col("line").rlike(STRAY) & ~F.col("line").rlike(_TABLE)).select("page_id", "line_no")
     misread = wrong.unionByName(stray).distinct().withColumn("kind", F.lit("misread"))
     broken = breaks(body, counts).select("page_id", "line_no", F.lit("hyphen_break").alias("kind"))
@@ -256,8 +269,8 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     Furniture and stray marks are left out, misread words replaced where the right one is known, broken words joined (one
     that runs to the next page of its file stays whole on the first). A paragraph begins after a blank line or at an indented one.
     """
-    lines, furnished, body, _, counts = _parts(pages)
-    fixed = misread_tokens(tokens_of(body, prev=True), misread_forms(counts)).where("word is not null")
+    lines, furnished, body, counts = _parts(pages)
+    fixed = misread_tokens(body, misread_forms(counts)).where("word is not null")
     cased = F.when(F.col("token").rlike(r"^[\"'“‘\[(]*\p{Lu}") & (F.length("token") > 1), F.concat(F.upper(F.substring("word", 1, 1)), F.expr("substr(word, 2)"))).otherwise(F.col("word"))
     # the marks around the form stay
     lead, trail = F.regexp_extract("token", r"^[\"'“‘\[]*", 0), F.regexp_extract("token", r"[.,;:?)\]\"'”’]*$", 0)
@@ -291,3 +304,24 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("page_id").orderBy("paragraph"))
     out = out.where("trim(text) != ''").withColumn("n", number)
     return out.select("file", "page", "page_id", F.col("n").alias("paragraph"), ((F.col("n") == 1) & (F.col("gone") | F.col("line").rlike(r"^\p{Ll}"))).alias("continues"), F.trim(F.regexp_replace(F.regexp_replace("text", "\x01 ?", ""), r"\s+", " ")).alias("text"))
+
+
+def continuous(paragraphs: DataFrame, bucket_pages: int = 64) -> DataFrame:
+    """Paragraphs over page ends: file, paragraph (from 1 in its file), page and page_id (where it begins), pages (on how many it stands), text.
+
+    ``paragraphs``: as ``paragraphs`` gives them. The first paragraph of a page goes on from the last of the page before, if that is there.
+    Pages without a number stand each for itself. Paragraphs are numbered with running totals within buckets of pages, so no
+    task holds a whole file.
+    """
+    numbered = paragraphs.where("page is not null and file is not null")
+    ends = numbered.groupBy("file", (F.col("page") + 1).alias("page")).agg(F.lit(True).alias("led"))
+    rows = numbered.join(ends, ["file", "page"], "left").withColumn("bucket", F.floor(F.col("page") / bucket_pages))
+    # of pages with the same number the first one goes on
+    first = F.row_number().over(Window.partitionBy("file", "page").orderBy("page_id", "paragraph")) == 1
+    rows = rows.withColumn("starts", F.when(F.col("continues") & F.coalesce("led", F.lit(False)) & first, 0).otherwise(1).cast("long"))
+    rows = total_before(rows, ["file"], ["page", "page_id", "paragraph"], "starts", "bucket").withColumn("n", F.col("before") + F.col("starts"))
+    pieces = F.array_sort(F.collect_list(F.struct("page", "page_id", "paragraph", "text")))
+    whole = rows.groupBy("file", "n").agg(pieces.alias("pieces"))
+    whole = whole.select("file", F.col("n").alias("paragraph"), F.col("pieces")[0]["page"].alias("page"), F.col("pieces")[0]["page_id"].alias("page_id"), F.size("pieces").alias("pages"), F.array_join(F.transform("pieces", lambda x: x["text"]), " ").alias("text"))
+    alone = paragraphs.where("page is null or file is null").select("file", F.col("paragraph").cast("long").alias("paragraph"), "page", "page_id", F.lit(1).alias("pages"), "text")
+    return whole.unionByName(alone)

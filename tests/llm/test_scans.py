@@ -101,3 +101,25 @@ def test_explained():
         assert scans.explained(form, word), form
     for form, word in (("that", "that"), ("cat", "cut"), ("form", "from")):
         assert not scans.explained(form, word), form
+
+
+def test_paragraphs_go_on_over_pages(spark):
+    rows = [
+        (1, "a-p1", "a.pdf", None, 1, "It began here.\n\nThe committee\nfavoured the exam-"), (2, "a-p2", "A.pdf", None, 2, "ple of the others\nand the second"), (3, "a-p3", "a.pdf", None, 3, "one too.\n\n  Then it was over."),
+        (4, "a-p5", "a.pdf", None, 5, "and a page is missing before this."), (5, "b", None, None, None, "no number here."), (6, "b2-p1", "a 2.pdf", None, 1, "Another file\nwas revised"), (7, "b2-p2", "a 2.pdf", None, 2, "in the end."),
+    ] + [(10 + i, f"c{i}", f"c{i}.txt", None, 1, "We saw an example here today.") for i in range(3)]
+    got = {(r.file, r.paragraph): r for r in scans.continuous(scans.paragraphs(spark.createDataFrame(rows, SCHEMA)), bucket_pages=2).collect()}
+    mine = {k: (r.page_id, r.pages, r.text) for k, r in got.items() if k[0] in ("a.pdf", "a 2.pdf", "b")}
+    assert mine == {
+        ("a.pdf", 1): (1, 1, "It began here."), ("a.pdf", 2): (1, 3, "The committee favoured the example of the others and the second one too."), ("a.pdf", 3): (3, 1, "Then it was over."),
+        ("a.pdf", 4): (4, 1, "and a page is missing before this."), ("a 2.pdf", 1): (6, 2, "Another file was revised in the end."), ("b", 1): (5, 1, "no number here."),
+    }
+    assert scans.continuous(scans.paragraphs(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_what_stands_before_decides_where_a_form_may_be_a_word(spark):
+    """A form too frequent to be sure of: misread where another word is usual in its place, a word of its own elsewhere."""
+    lines = ["they come and go all day"] * 400 + ["they come arid go all day"] * 8 + ["a hot arid plain lies there"] * 8
+    rows = [(i, f"p{i}", f"p{i}.txt", None, 1, line) for i, line in enumerate(lines)]
+    got = {r.page_id for r in scans.noise(spark.createDataFrame(rows, SCHEMA)).collect() if r.kind == "misread"}
+    assert got == set(range(400, 408))

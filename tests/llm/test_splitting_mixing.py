@@ -116,3 +116,29 @@ def test_counts_are_the_tokenizers():
     other = Tokenizer.from_file(mixing.TOKENIZER.replace(".tiktoken", ".json"))
     for text in ("Hello world, it's 1984!", "Übergrößenträger  \n\n x", "日本語 text"):
         assert len(mixing._encoding(mixing.TOKENIZER).encode_ordinary(text)) == len(other.encode(text, add_special_tokens=False).ids)
+
+
+@needs_tokenizer
+def test_blocks_are_of_equal_tokens(spark):
+    rows = [(i, f"number {i} says " + "some words and more " * (400 if i == 50 else i % 40), ["big", "big", "mid", "small"][i % 4] if i < 400 else "big") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 3)], "source string, target_share double, max_repeats int")
+    pieces, shares = mixing.blocks(docs, targets, block=128)
+    slots, uses = {}, {}
+    for r in pieces.orderBy("slot", "offset").collect():
+        assert r.offset == slots.get(r.slot, (0, r.source))[0] and slots.get(r.slot, (0, r.source))[1] == r.source and r.tokens > 0
+        slots[r.slot] = (r.offset + r.tokens, r.source)
+        uses.setdefault((r.doc_id, r["pass"]), []).append((r.start, r.tokens))
+    # every slot is there and full, but for the last of a source that is used up
+    assert sorted(slots) == list(range(len(slots)))
+    partial = [source for size, source in slots.values() if size != 128]
+    assert len(partial) == len(set(partial)) and all(size <= 128 for size, _ in slots.values())
+    # the pieces of a use follow each other
+    for found in uses.values():
+        at = min(found)[0]
+        for start, size in sorted(found):
+            assert start == at
+            at = start + size
+    for r in shares.collect():
+        assert abs(r.actual_share - r.target_share) < 0.02 and r.most_uses <= r.max_repeats
+        assert r.used_tokens == sum(size for size, source in slots.values() if source == r.source)
