@@ -140,8 +140,9 @@ def across_pages(body: DataFrame) -> DataFrame:
     return body.where("after is not null and before is not null").unionByName(ends)
 
 
-def tokens_of(body: DataFrame, prev: bool = False) -> DataFrame:
-    """Tokens of body lines without the two halves of broken words: page_id, line_no, at, token, form, and with ``prev`` the form before.
+def tokens_of(body: DataFrame, *beside: str) -> DataFrame:
+    """Tokens of body lines without the two halves of broken words: page_id, line_no, at, token, form, and as asked for by ``beside`` prev
+    and next, the forms before and after it in its line and sentence (empty where there is none).
 
     The form is the token in lower case without marks that follow or quote it.
     """
@@ -157,9 +158,16 @@ def tokens_of(body: DataFrame, prev: bool = False) -> DataFrame:
     whole = lambda c: F.slice(c, F.col("start") + 1, F.greatest(F.lit(0), F.size("parts") - F.col("start") - F.col("end")))
     lists = lists.select("page_id", "line_no", "start", whole("parts").alias("token"), whole("forms").alias("form"))
     # one struct a token, so that no row carries the whole line
-    zipped = F.arrays_zip("token", "form", F.concat(F.array(F.lit(None).cast("string")), F.slice("form", 1, F.greatest(F.lit(0), F.size("form") - 1))).alias("prev")) if prev else F.arrays_zip("token", "form")
+    inner = lambda f: F.regexp_replace(f, r"^\(", "")
+    ends = lambda i: F.coalesce(F.try_element_at("token", i), F.lit("")).rlike(r"[.!?][\"'”’)]*$")
+    beyond = lambda i, end: F.when(end, "").otherwise(inner(F.coalesce(F.try_element_at("form", i), F.lit(""))))
+    sides = {
+        "prev": F.transform("form", lambda f, i: F.when(i > 0, beyond(i, ends(i))).otherwise("")).alias("prev"),
+        "next": F.transform("form", lambda f, i: beyond(i + 2, ends(i + 1))).alias("next"),
+    }
+    zipped = F.arrays_zip("token", "form", *(sides[side] for side in beside))
     long = lists.select("page_id", "line_no", "start", F.posexplode(zipped).alias("i", "x"))
-    out = long.select("page_id", "line_no", (F.col("i") + F.col("start")).alias("at"), "x.token", *([F.regexp_replace("x.prev", r"^\(", "").alias("prev")] if prev else []), "x.form")
+    out = long.select("page_id", "line_no", (F.col("i") + F.col("start")).alias("at"), "x.token", *(f"x.{side}" for side in beside), "x.form")
     return out.where("form != ''")
 
 
@@ -180,7 +188,7 @@ def misread_forms(counts: DataFrame, ratio: int = 12, rate: float = 0.005, confu
     A form is one where a form of its skeleton is ``ratio`` times as frequent and at most ``confusions`` confusions explain it (a form
     that is always written with a capital, unlike the other, is a name); or where glyphs that no word holds stand between
     letters. It is sure where no more than about ``rate`` of the other's occurrences are so misread; else it may be a word of its own, and what
-    stands before each of its tokens decides.
+    stands beside each of its tokens decides.
     """
     counts = counts.where(F.length("form").between(2, 64) & F.col("form").rlike(r"\p{L}")).withColumn("skeleton", skeleton(F.col("form")))
     good = counts.where(F.col("form").rlike(_WORD)).select("skeleton", F.col("form").alias("word"), F.col("count").alias("often"), F.col("capital").alias("usual"))
@@ -199,20 +207,27 @@ def misread_forms(counts: DataFrame, ratio: int = 12, rate: float = 0.005, confu
 def misread_tokens(body: DataFrame, forms: DataFrame, choose: bool = True, ratio: int = 12) -> DataFrame:
     """Each misread token (page_id, line_no, at, token, form, word) with the word that stands for it.
 
-    Of several words it is the one seen most after the word before it (with ``choose``; else any). A token whose form may be a word of its
-    own is one only where another word is seen ``ratio`` times as often in its place.
+    Of several words it is the one seen most beside its neighbours (with ``choose``; else any). A token whose form may be a word of its
+    own is one only where another word is seen ``ratio`` times as often both after the word before it and before the word after it.
     """
-    tokens = tokens_of(body, prev=True)
-    hit = materialise(tokens.join(forms, "form"), "hits")
-    open_ = hit.where("prev is not null and prev != ''").where(~F.col("sure") | (F.lit(choose) & (F.size("words") > 1))).select("prev", "form", "words").distinct()
-    asked = open_.select("prev", F.explode(F.array_union(F.array("form"), "words")).alias("form")).distinct()
-    # counted by pairs of words, so that no row gathers all that follows a word
-    seen = materialise(tokens.join(asked, ["prev", "form"], "left_semi").groupBy("prev", "form").agg(F.count("*").alias("seen")), "seen")
-    own = open_.select("prev", "form").join(seen, ["prev", "form"]).withColumnRenamed("seen", "own")
-    choice = open_.select("prev", "form", F.explode("words").alias("word")).join(seen.withColumnRenamed("form", "word"), ["prev", "word"])
-    choice = choice.groupBy("prev", "form").agg(F.max(F.struct("seen", "word")).alias("best")).join(own, ["prev", "form"])
-    choice = choice.select("prev", "form", F.col("best.word").alias("better"), (F.col("best.seen") >= ratio * F.col("own")).alias("backed"))
-    hit = hit.join(choice, ["prev", "form"], "left").where("sure or coalesce(backed, false)")
+    hit, at, place = materialise(tokens_of(body).join(forms, "form"), "hits"), ["page_id", "line_no", "at"], ["prev", "form", "next"]
+    # only the lines with a form in doubt are looked at again
+    doubtful = hit.where(~F.col("sure") | (F.lit(choose) & (F.size("words") > 1)))
+    lines = body.join(doubtful.select("page_id", "line_no").distinct(), ["page_id", "line_no"], "left_semi")
+    doubtful = materialise(doubtful.select(*at, "form", "words").join(tokens_of(lines, "prev", "next").select(*at, "prev", "next"), at), "doubtful")
+    ways = doubtful.select(*place, "words").distinct()
+    ways = ways.select(*place, F.explode(F.array_union(F.array("form"), "words")).alias("word"))
+    # counted by pairs of neighbours, so that no row gathers all that follows a word
+    asked = ways.select(F.col("prev").alias("a"), F.col("word").alias("b")).unionByName(ways.select(F.col("word").alias("a"), F.col("next").alias("b"))).where("a != '' and b != ''").distinct()
+    seen = materialise(tokens_of(body, "prev").select(F.col("prev").alias("a"), F.col("form").alias("b")).join(asked, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("seen")), "seen")
+    before = seen.select(F.col("a").alias("prev"), F.col("b").alias("word"), F.col("seen").alias("left"))
+    after = seen.select(F.col("a").alias("word"), F.col("b").alias("next"), F.col("seen").alias("right"))
+    ways = ways.join(before, ["prev", "word"], "left").join(after, ["word", "next"], "left").na.fill(0, ["left", "right"])
+    own = ways.where("word = form").select(*place, F.greatest("left", F.lit(1)).alias("own_left"), F.greatest("right", F.lit(1)).alias("own_right"))
+    ways = ways.where("word != form and left + right > 0").join(own, place)
+    backed = (F.col("left") >= ratio * F.col("own_left")) & (F.col("right") >= ratio * F.col("own_right"))
+    choice = ways.groupBy(*place).agg(F.max(F.struct(backed.alias("backed"), (F.col("left") + F.col("right")).alias("seen"), "word")).alias("best")).select(*place, "best.backed", F.col("best.word").alias("better"))
+    hit = hit.join(doubtful.join(choice, place).select(*at, "backed", "better"), at, "left").where("sure or coalesce(backed, false)")
     return hit.select("page_id", "line_no", "at", "token", "form", F.coalesce("better", "word").alias("word"))
 
 
