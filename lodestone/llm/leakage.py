@@ -73,51 +73,80 @@ def _held(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
 
+def _longest(doc: np.ndarray, passage: np.ndarray, free_d: np.ndarray, free_p: np.ndarray, least: int) -> int:
+    """Length of the longest common run of unmarked words, by bisection; 0 where none has ``least`` words."""
+    low, high = least - 1, min(len(doc), len(passage))
+    while low < high:
+        middle = (low + high + 1) // 2
+        values = np.sort(_free_runs(passage, free_p, middle)[1])
+        if len(values) and _held(_free_runs(doc, free_d, middle)[1], values).any():
+            low = middle
+        else:
+            high = middle - 1
+    return low if low >= least else 0
+
+
+def _matches(doc: np.ndarray, passage: np.ndarray, free_d: np.ndarray, free_p: np.ndarray, length: int):
+    """(place in ``doc``, place in ``passage``) of common windows of ``length`` unmarked words, in order of the document, each with the
+    first place in the passage that is unmarked when it is asked for."""
+    places: dict[int, list[int]] = {}
+    at, values = _free_runs(passage, free_p, length)
+    among = np.sort(values)
+    for p, value in zip(at[::-1].tolist(), values[::-1].tolist()):
+        places.setdefault(value, []).append(p)  # the first is last
+    at, values = _free_runs(doc, free_d, length)
+    hits, end = _held(values, among), 0
+    for d, value in zip(at[hits].tolist(), values[hits].tolist()):
+        left = places[value] if d >= end else []
+        while left and not free_p[left[-1] : left[-1] + length].all():
+            left.pop()
+        if left:
+            end = d + length
+            yield d, left.pop()
+
+
 def tile(doc: np.ndarray, passage: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (length, place in ``doc``, place in ``passage``) of each tile, longest first.
 
-    The greatest length at which the unmarked words of both have a window in common is found by bisection, and all its
-    windows are marked; then the next length. Of equally long matches the first in the document, then in the passage, is
-    marked first. Empty sides or a side shorter than ``least`` give no tile. Time and memory grow with the
-    words, not with the pairs of places, however repetitive the texts are.
+    The windows of the greatest length that the unmarked words of both have in common are marked, then those of the next length. Of
+    equally long matches the first in the document, then in the passage, is marked first. Where each window of ``least``
+    words stands once in the passage, the runs of common windows are read off; else lengths are found by bisection. Empty sides or a
+    side shorter than ``least`` give no tile. Time and memory grow with the words, not with the pairs of places.
     """
     if least < 1:
         raise ValueError("least must be positive")
+    values, tiles = rolling(passage, least), []
+    if not len(values) or len(doc) < least:
+        return tiles
+    order = np.argsort(values, kind="stable")
+    among, seeds = values[order], rolling(doc, least)
+    place = np.minimum(np.searchsorted(among, seeds), len(among) - 1)
+    at_d = np.flatnonzero(among[place] == seeds)
+    at_p = order[place[at_d]]
+    once = not (among[1:] == among[:-1]).any()
     free_d, free_p = np.ones(len(doc), bool), np.ones(len(passage), bool)
 
-    def common(length: int) -> bool:
-        among = np.sort(_free_runs(passage, free_p, length)[1])
-        return bool(len(among)) and bool(_held(_free_runs(doc, free_d, length)[1], among).any())
-
-    tiles, high = [], min(len(doc), len(passage))
-    while high >= least and common(least):
-        low = least  # there is a match of length low, and none longer than high
-        step = 1
-        while low < high:
-            middle = min(high, low + step)
-            if common(middle):
-                low, step = middle, step * 2
-            else:
-                high, step = middle - 1, max(1, (middle - 1 - low) // 2)
-        places: dict[int, list[int]] = {}
-        at, values = _free_runs(passage, free_p, low)
-        among = np.sort(values)
-        for p, value in zip(at[::-1].tolist(), values[::-1].tolist()):
-            places.setdefault(value, []).append(p)  # the first is last
-        at, values = _free_runs(doc, free_d, low)
-        hits = _held(values, among)
-        end = 0
-        for d, value in zip(at[hits].tolist(), values[hits].tolist()):
-            if d < end:
-                continue
-            left = places[value]
-            while left and not free_p[left[-1] : left[-1] + low].all():
-                left.pop()
-            if left and (doc[d : d + low] == passage[left[-1] : left[-1] + low]).all():
-                p, end = left.pop(), d + low
-                free_d[d:end] = free_p[p : p + low] = False
-                tiles.append((low, d, p))
-        high = low - 1
+    def unmarked(free: np.ndarray, at: np.ndarray) -> np.ndarray:
+        taken = np.concatenate([[0], np.cumsum(~free)])
+        return taken[at + least] == taken[at]
+
+    while len(at_d):
+        if once:
+            ends = np.flatnonzero(np.append((np.diff(at_d) != 1) | (np.diff(at_p) != 1), True))
+            sizes = np.diff(ends, prepend=-1)
+            length = int(sizes.max()) + least - 1
+            starts = (ends - sizes + 1)[sizes == sizes.max()]
+            found = zip(at_d[starts].tolist(), at_p[starts].tolist())
+        elif length := _longest(doc, passage, free_d, free_p, least):
+            found = _matches(doc, passage, free_d, free_p, length)
+        else:
+            break
+        for d, p in found:
+            if free_d[d : d + length].all() and free_p[p : p + length].all() and (doc[d : d + length] == passage[p : p + length]).all():
+                free_d[d : d + length] = free_p[p : p + length] = False
+                tiles.append((length, d, p))
+        left = unmarked(free_d, at_d) & unmarked(free_p, at_p) if once else unmarked(free_d, at_d)
+        at_d, at_p = at_d[left], at_p[left]
     return tiles
 
 
@@ -161,6 +190,8 @@ def tilings(documents: DataFrame, items: DataFrame, run: int = 13, least: int |
         held = F.size(F.array_distinct(F.flatten(F.transform("places", lambda at: F.sequence(at, at + F.col("length") - 1)))))
         pairs = places.where(held / F.col("words") >= reach).select("doc_id", "item_id", "part")
     pairs = materialise(pairs, "pairs")
+    if known is not None:
+        known.destroy()
     texts = documents.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = pairs.join(texts, "doc_id").join(passages.withColumnRenamed("text", "passage"), ["item_id", "part"])
     return both.mapInArrow(partial(_tiled, least=least), _TILES)
