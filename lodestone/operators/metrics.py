@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.running import total_before
+from lodestone.session import materialise, small_enough
+
 
 def _share(x: Column, y: Column) -> Column:
     return F.coalesce(x / F.nullif(y, F.lit(0)), F.lit(0.0))
@@ -27,15 +30,31 @@ def binary(rows: DataFrame, *by: str) -> DataFrame:
     return counts.select(*by, "tp", "tn", "fp", "fn", six(_share(tp + tn, tp + tn + fp + fn), "accuracy"), six(precision, "precision"), six(recall, "recall"), six(_share(2 * precision * recall, precision + recall), "f1"))
 
 
+def medians(rows: DataFrame, by: str, value: str, buckets: int = 4_096) -> DataFrame:
+    """(by, median) of the values that are not null; of an even number the mean of the middle two. Exact.
+
+    Equal values are counted, and the counts summed within buckets of values first, so that no task holds all values of a key.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    ends = counts.groupBy(by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("all"))
+    placed = counts.join(ends, by).withColumn("bucket", F.coalesce(F.floor((F.col("v") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * buckets), F.lit(0).cast("long")))
+    placed = total_before(placed, [by], ["v"], "n", "bucket")
+    holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
+    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    middle = placed.where(holds(low) | holds(high)).groupBy(by).agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    return middle.select(by, ((F.col("a") + F.col("b")) / 2).alias("median"))
+
+
 def summary(runs: DataFrame, by: str = "system") -> DataFrame:
     """Counts, rates and latencies of each system. ``runs``: system, status, correct, unsupported, latency_ms, iterations."""
     n = F.count("*")
     rate = lambda c, name: F.round(F.count_if(c) / n, 6).alias(name)
-    return runs.groupBy(by).agg(
+    rows = runs.groupBy(by).agg(
         n.alias("questions"), F.count_if("correct").alias("correct"), rate(F.col("correct"), "accuracy"), rate(F.col("unsupported"), "unsupported_rate"),
         rate(F.col("status") == "unanswerable", "abstention_rate"), F.round(F.avg("iterations"), 6).alias("mean_iterations"),
-        F.round(F.avg("latency_ms"), 6).alias("mean_latency"), F.round(F.percentile("latency_ms", F.lit(0.5)), 6).alias("median_latency"),
+        F.round(F.avg("latency_ms"), 6).alias("mean_latency"),
     )
+    return rows.join(medians(runs, by, "latency_ms"), by, "left").select(*rows.columns, F.round("median", 6).alias("median_latency"))
 
 
 def probability(sufficiency: Column, confidence: Column, w1: float = 2.5, w2: float = 1.5, b: float = -2.0) -> Column:
@@ -76,17 +95,21 @@ def area(curve: DataFrame) -> DataFrame:
 def fit_selective(records: DataFrame, epochs: int = 250, rate: float = 0.1, most: int = 100_000) -> tuple[float, float, float]:
     """Weights of ``probability`` by gradient descent over all records (sufficiency, confidence, correct).
 
-    Equal records are counted, not kept; the distinct ones (a grid of two coarse scores, at most ``most``) are fitted on the driver.
+    Equal records are counted, not kept. Up to ``most`` distinct ones (a grid of two coarse scores) are fitted on the driver; of
+    more, Spark sums the gradient in every epoch.
     """
-    rows = records.groupBy("sufficiency", "confidence", "correct").count().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many different scores; round them first")
-    w1, w2, b, n = 2.5, 1.5, -2.0, sum(r["count"] for r in rows)
+    counted = materialise(records.groupBy("sufficiency", "confidence", "correct").count(), "scores")
+    few = small_enough(counted, most)
+    rows = counted.collect() if few else []
+    w1, w2, b, n = 2.5, 1.5, -2.0, counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     for _ in range(epochs if n else 0):
         g1 = g2 = g0 = 0.0
         for r in rows:
             z = max(-25.0, min(25.0, w1 * r.sufficiency + w2 * r.confidence + b))
             e = (1 / (1 + math.exp(-z)) - float(r.correct)) * r["count"]
             g1, g2, g0 = g1 + e * r.sufficiency, g2 + e * r.confidence, g0 + e
+        if not few:
+            e = (probability(F.col("sufficiency"), F.col("confidence"), w1, w2, b) - F.col("correct").cast("double")) * F.col("count")
+            g1, g2, g0 = counted.agg(F.sum(e * F.col("sufficiency")), F.sum(e * F.col("confidence")), F.sum(e)).first()
         w1, w2, b = w1 - rate * g1 / n, w2 - rate * g2 / n, b - rate * g0 / n
     return w1, w2, b

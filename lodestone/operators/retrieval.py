@@ -25,7 +25,7 @@ K1, B, RRF = 1.5, 0.75, 60
 BROADCAST_ROWS = 500_000
 #: Query vectors compared in one pass.
 BLOCK = 8_192
-#: Up to so many different questions and terms are scored batch by batch, where only each batch's best go on.
+#: A block of questions that goes to every task has about so many different wordings, or terms, at most.
 BATCH_QUESTIONS, BATCH_TERMS = 2_048, 8_192
 _TOKEN = re.compile(T.ASCII)
 
@@ -64,43 +64,61 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     """qid, chunk_id, score, rank of the ``k`` best chunks; a repeated query token counts each time.
 
     ``chunks``: chunk_id (once each), text. Questions that share no term with any chunk have no row; null texts are empty.
-    A bounded set of questions is scored within each batch of chunks, so that nearly all (question, chunk) pairs, which
-    common words make, never leave their task; a larger one is joined on terms.
+    Questions are taken in blocks, which are scored within each batch of chunks, so that nearly all (question, chunk) pairs,
+    which common words make, never leave their task. Statistics of the terms are computed once.
     """
-    spark = questions.sparkSession
     questions, chunks = questions.select("qid", "question"), chunks.select("chunk_id", "text")
     # each distinct wording is scored once
     wordings = questions.groupBy("question").agg(F.min("qid").alias("first"))
     query = wordings.select("first", F.explode(T.index_tokens(F.col("question"))).alias("term")).groupBy("first", "term").agg(F.count("*").alias("qtf"))
-    asked = query.select("term").distinct()
-    if small_enough(asked, BATCH_TERMS) and small_enough(wordings, BATCH_QUESTIONS):
-        n, avgdl = index.collection(chunks).first()
-        df = chunks.select(F.explode(F.array_distinct(T.index_tokens(F.col("text")))).alias("term")).join(F.broadcast(asked), "term").groupBy("term").agg(F.count("*").alias("df"))
-        idf = F.log(1 + (F.lit(n) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-        rows = query.join(df, "term").select("first", "term", (F.col("qtf") * idf).alias("weight")).collect()  # bounded above
+    n, avgdl = index.collection(chunks).first()
+    df = chunks.select(F.explode(F.array_distinct(T.index_tokens(F.col("text")))).alias("term")).join(_query_side(query.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    weighted = query.join(df, "term").select("first", "term", (F.col("qtf") * idf).alias("weight"))
+    kind = questions.schema["qid"].dataType.simpleString()
+
+    def scored(part, number):
+        rows = part.collect()  # of bounded size
+        if not rows:
+            return None
         terms, names = {t: i for i, t in enumerate(sorted({r.term for r in rows}))}, sorted({r["first"] for r in rows})
         at, weights = {q: i for i, q in enumerate(names)}, np.zeros((len(terms), len(names)))
         for r in rows:
             weights[terms[r.term], at[r["first"]]] = r.weight
-        kind = questions.schema["qid"].dataType.simpleString()
-        named = spark.createDataFrame([(i, q) for q, i in at.items()], f"query long, first {kind}")
-        shared = spark.sparkContext.broadcast((terms, weights))
-        found = chunks.mapInArrow(partial(_best_of_batches, shared=shared, avgdl=float(avgdl or 1), k=k), "query long, chunk_id string, score double") if rows else spark.createDataFrame([], "query long, chunk_id string, score double")
-        ranked = best(found, k, "chunk_id", by="query").join(F.broadcast(named), "query").drop("query")
-    else:
-        stats = index.term_statistics(chunks)
-        weighted = _query_side(query.join(stats, "term").select("first", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
-        whole = F.broadcast(index.collection(chunks))  # one row
-        sized = chunks.select("chunk_id", T.index_tokens(F.col("text")).alias("terms")).join(whole)
-        damp = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.size("terms") / F.col("avgdl"))
-        postings = sized.select("chunk_id", damp.alias("damp"), F.explode("terms").alias("term"))
-        # only the questions' terms are counted at all
-        postings = postings.join(_query_side(asked), "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("damp").alias("damp"))
-        scores = postings.join(weighted, "term").groupBy("first", "chunk_id").agg(F.sum(F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("damp"))).alias("score"))
-        ranked = best(scores, k, "chunk_id", by="first")
+        shared = chunks.sparkSession.sparkContext.broadcast((terms, weights))
+        found = chunks.mapInArrow(partial(_best_of_batches, shared=shared, avgdl=float(avgdl or 1), k=k), "query long, chunk_id string, score double")
+        return _named(best(found, k, "chunk_id", by="query"), at, kind)
+
+    ranked = _in_blocks(weighted, scored)
+    if ranked is None:
+        ranked = chunks.sparkSession.createDataFrame([], f"first {kind}, chunk_id string, score double, rank long")
     return questions.join(wordings, "question").select("qid", "first").join(ranked, "first").select("qid", "chunk_id", "score", "rank")
 
 
+def _named(ranked: DataFrame, at: dict, kind: str) -> DataFrame:
+    named = ranked.sparkSession.createDataFrame([(i, q) for q, i in at.items()], f"query long, first {kind}")
+    return ranked.join(F.broadcast(named), "query").drop("query")  # a row a question of the block
+
+
+def _in_blocks(rows: DataFrame, scored) -> DataFrame | None:
+    """All that ``scored`` makes of the blocks of ``rows`` (first, term, ...), each of whole questions; none where there are no rows.
+
+    Results of several blocks are written one after another, so that only one block is on its way at a time.
+    """
+    rows = materialise(rows, "terms")
+    terms, wordings = rows.agg(F.count("*"), F.count_distinct("first")).first()
+    blocks = max(-(-terms // max(1, BATCH_TERMS)), -(-wordings // max(1, BATCH_QUESTIONS)))
+    if blocks <= 1:
+        return scored(rows, 0)
+    found = None
+    for b in range(min(blocks, wordings)):
+        block = scored(rows.where(F.pmod(F.xxhash64("first"), F.lit(min(blocks, wordings))) == b), b)
+        if block is not None:
+            block = materialise(block, "ranked")
+            found = block if found is None else found.unionByName(block)
+    return found
+
+
 def _nearest(batches, queries, key: str, k: int):
     """The ``k`` best rows of a batch for each query; those of all batches hold the best of all."""
     ids, matrix = queries.value
@@ -223,34 +241,26 @@ def lexical(queries: DataFrame, documents: DataFrame, stemmed: bool = True, rati
     queries, documents = queries.select("qid", "query", "corpora"), documents.select("doc_id", "corpus_id", "text")
     cut = T.stems if stemmed else (lambda x: F.array_distinct(T.ascii_tokens(x)))
     wordings = queries.groupBy("query", F.array_sort("corpora").alias("corpora")).agg(F.min("qid").alias("first"))
-    terms = wordings.select("first", "corpora", "query", cut(F.col("query")).alias("terms")).where("size(terms) > 0")
-    distinct = terms.select(F.explode("terms").alias("term")).distinct()
-    if small_enough(distinct, BATCH_TERMS) and small_enough(terms, BATCH_QUESTIONS):
-        rows = terms.collect()  # bounded above
+    terms = wordings.select("first", "corpora", "query", F.explode(cut(F.col("query"))).alias("term"))
+    kind, schema = queries.schema["qid"].dataType.simpleString(), "query long, corpus_id string, doc_id long, score double"
+
+    def scored(part, number):
+        rows = part.groupBy("first", "corpora", "query").agg(F.collect_set("term").alias("terms")).collect()  # of bounded size
+        if not rows:
+            return None
         words = {t: i for i, t in enumerate(sorted({t for r in rows for t in r.terms}))}
-        homes = {c: i for i, c in enumerate(sorted({c for r in rows for c in r.corpora}))}
+        homes = {c: i for i, c in enumerate(sorted({c for r in rows for c in r.corpora or ()}))}
         weights, allowed = np.zeros((len(words), len(rows))), np.zeros((len(homes), len(rows)), bool)
         for j, r in enumerate(rows):
             weights[[words[t] for t in r.terms], j] = 1
-            allowed[[homes[c] for c in r.corpora], j] = True
+            allowed[[homes[c] for c in r.corpora or ()], j] = True
         shared = documents.sparkSession.sparkContext.broadcast((words, weights, np.array([float(len(r.terms)) for r in rows]), [(r["query"] or "").strip().lower() for r in rows], homes, allowed))
-        schema = "query long, corpus_id string, doc_id long, score double"
-        found = documents.where("corpus_id is not null").mapInArrow(partial(_lexical_batches, shared=shared, stemmed=stemmed, ratio=ratio, phrase=phrase, k=k), schema) if rows else documents.sparkSession.createDataFrame([], schema)
-        named = documents.sparkSession.createDataFrame([(j, r["first"]) for j, r in enumerate(rows)], f"query long, first {queries.schema['qid'].dataType.simpleString()}")
-        ranked = best(found, k, "corpus_id", "doc_id", by="query").join(F.broadcast(named), "query").drop("query")
-    else:
-        asked = _query_side(terms.select("first", F.explode("terms").alias("term")))
-        routed = _query_side(terms.select("first", F.size("terms").alias("all"), "query", F.explode("corpora").alias("corpus_id")))
-        found = documents.select("doc_id", "corpus_id", F.explode(cut(F.col("text"))).alias("term")).join(asked, "term").groupBy("first", "doc_id", "corpus_id").agg(F.count("*").alias("overlap"))
-        found = found.join(routed, ["first", "corpus_id"])
-        base = F.col("overlap") / F.col("all") if ratio else F.col("overlap").cast("double")
-        scored = found.select("first", "doc_id", "corpus_id", "query", "all", "overlap", base.alias("score"))
-        if phrase:
-            # a text with the whole query has all its tokens but perhaps the outer two
-            near = scored.where("overlap >= `all` - 2").join(documents.select("doc_id", "text"), "doc_id")
-            near = near.where(F.contains(F.lower("text"), F.lower(F.trim("query")))).select("first", "doc_id", F.lit(2.0).alias("bonus"))
-            scored = scored.join(near, ["first", "doc_id"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0)))
-        ranked = best(scored.select("first", "corpus_id", "doc_id", "score"), k, "corpus_id", "doc_id", by="first")
+        found = documents.where("corpus_id is not null").mapInArrow(partial(_lexical_batches, shared=shared, stemmed=stemmed, ratio=ratio, phrase=phrase, k=k), schema)
+        return _named(best(found, k, "corpus_id", "doc_id", by="query"), {r["first"]: j for j, r in enumerate(rows)}, kind)
+
+    ranked = _in_blocks(terms, scored)
+    if ranked is None:
+        ranked = documents.sparkSession.createDataFrame([], f"first {kind}, corpus_id string, doc_id long, score double, rank long")
     back = queries.select("qid", "query", F.array_sort("corpora").alias("corpora")).join(wordings, ["query", "corpora"]).select("qid", "first")
     return back.join(ranked, "first").select("qid", "corpus_id", "doc_id", "score", "rank")
 

@@ -65,17 +65,25 @@ def verified_answers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def context_evaluator(spark: SparkSession, folder: str) -> DataFrame:
-    """Do the six chunks of hybrid search hold what the planner asks for? Facts go to those of the question's own documents that share a token
-    with them, or to all."""
-    rows = _evidence(spark, folder, search=retrieval.hybrid)
+def evaluated(facts: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The judgement of each question's evidence, and its facts that are not held: facts go to those of the question's own documents that share a
+    token with them, or to all.
+
+    ``facts``: qid, fact_no, description. ``rows``: qid, chunk_id, document_id, text. Every chunk is a claim that cites itself.
+    """
     found = rows.select("qid", F.col("chunk_id").alias("sid"), "text", F.coalesce("document_id", F.lit("")).alias("corpus_id"))
-    facts = planning.plan_facts(questions(spark, folder))
     own = found.groupBy("qid").agg(F.collect_set("corpus_id").alias("documents"))
     described = lambda d: T.ascii_tokens(F.concat_ws(" ", d, F.lit("Document"), d))
     hit = F.filter("documents", lambda d: F.arrays_overlap(T.ascii_tokens(F.col("description")), described(d)))
     facts = facts.join(own, "qid", "left").withColumn("hit", hit).select("qid", "fact_no", "description", F.when(F.size("hit") > 0, F.col("hit")).otherwise(F.col("documents")).alias("corpora"))
     judged = judging.assess(facts, found, found.select("qid", F.lit(1).cast("long").alias("claim_no"), F.array("sid").alias("sids")), by_fact=True)
+    missing = facts.join(judging.support(facts, found).select("qid", "fact_no").distinct(), ["qid", "fact_no"], "left_anti")
+    return judged, missing.select("qid", "fact_no", "description")
+
+
+def context_evaluator(spark: SparkSession, folder: str) -> DataFrame:
+    """Do the six chunks of hybrid search hold what the planner asks for?"""
+    judged, _ = evaluated(planning.plan_facts(questions(spark, folder)), _evidence(spark, folder, search=retrieval.hybrid))
     return judged.select("qid", "facts", "covered", F.round("score", 6).alias("score"), "label", (F.col("label") == "sufficient").alias("sufficient"))
 
 
@@ -162,6 +170,18 @@ _ROUTED = routed("g", "facts", "qid, fact_no", "concat_ws(' ', id, description)"
 _AGAIN = f"{_BASE}, {_HELD}, {_FEEDBACK}, {_ROUTED}, ag AS (SELECT w.qid, w.fact_no, w.query, row_number() OVER (PARTITION BY w.qid ORDER BY w.fact_no) AS i, (SELECT string_agg(corpus_id, ',' ORDER BY corpus_id) FROM g WHERE g.qid = w.qid AND g.fact_no = w.fact_no) AS corpora FROM w)"
 _NAMED = "cn AS (SELECT chunk_id, any_value(document_name) AS document_name, any_value(page) AS page, any_value(document_id) AS document_id, any_value(text) AS text FROM chunks GROUP BY chunk_id)"
 _PAGE = "CASE WHEN page IS NOT NULL THEN 'Page ' || page END"
+_QUESTION_FACTS = FACTS.replace("FROM a WHERE", "FROM q WHERE")
+
+
+def _evaluated(rows: str, out: str) -> str:
+    """CTEs from the evidence ``rows`` (qid, document_id, text) to the facts held, ``out``_h, and the judgement of each question, ``out``."""
+    return f"""{out}_d AS (SELECT DISTINCT qid, coalesce(document_id, '') AS d FROM {rows}),
+        {out}_r AS (SELECT facts.qid, fact_no, d, len(list_intersect({S.ascii_tokens('description')}, {S.ascii_tokens("d || ' Document ' || d")})) > 0 AS hit FROM facts JOIN {out}_d USING (qid)),
+        {out}_o AS (SELECT qid, fact_no, d FROM (SELECT *, max(hit::INT) OVER (PARTITION BY qid, fact_no) AS hits FROM {out}_r) WHERE hit OR hits = 0),
+        {out}_h AS (SELECT DISTINCT facts.qid, facts.fact_no FROM facts JOIN {out}_o o USING (qid, fact_no) JOIN {rows} x ON x.qid = facts.qid AND coalesce(x.document_id, '') = o.d WHERE len(list_filter({_meaningful('facts.description')}, lambda t: NOT contains(lower(coalesce(x.text, '')), t))) = 0),
+        {out}_c AS (SELECT facts.qid, count(*) AS facts, count(h.fact_no) AS covered, (SELECT count(*) FROM {rows} x WHERE x.qid = facts.qid) AS n FROM facts LEFT JOIN {out}_h h USING (qid, fact_no) GROUP BY facts.qid),
+        {out} AS (SELECT *, CASE WHEN covered = facts THEN 'sufficient' WHEN n = 0 THEN 'unanswerable' WHEN covered > 0 THEN 'useful_but_incomplete' ELSE 'insufficient' END AS label FROM {out}_c)"""
+
 
 SQL = {
     "fact_conflicts": f"WITH {_BASE}, {_HELD_BY_NAME}, {_BY_FACT} SELECT qid, fact_no, term, sids FROM x_h",
@@ -175,13 +195,7 @@ SQL = {
     "verified_answers": f"""WITH {LOG}, {_SNIPPETS}, {_CLAIMS}, {_SUPPORT}, k AS (SELECT question_id AS qid, coalesce(e1_status, 'unanswerable') = 'unanswerable' OR claims IS NULL AS nothing, claims, supported, mean_support FROM l LEFT JOIN v ON v.qid = question_id)
         SELECT qid, CASE WHEN nothing THEN 0 ELSE claims END AS claims, CASE WHEN nothing THEN 0 ELSE supported END AS supported, nothing OR supported = claims AS all_supported, CASE WHEN nothing THEN 1.0::DOUBLE ELSE mean_support END AS mean_support,
             CASE WHEN NOT nothing AND supported = claims THEN 'TRUSTED' ELSE 'ABSTAIN' END AS decision FROM k""",
-    "context_evaluator": f"""WITH {_over_hybrid(_ranked(6))}, {FACTS.replace('FROM a WHERE', 'FROM q WHERE')}, dr AS (SELECT DISTINCT qid, coalesce(document_id, '') AS d FROM e),
-        rt AS (SELECT facts.qid, fact_no, d, len(list_intersect({S.ascii_tokens('description')}, {S.ascii_tokens("d || ' Document ' || d")})) > 0 AS hit FROM facts JOIN dr USING (qid)),
-        ok AS (SELECT qid, fact_no, d FROM (SELECT *, max(hit::INT) OVER (PARTITION BY qid, fact_no) AS hits FROM rt) WHERE hit OR hits = 0),
-        hd AS (SELECT DISTINCT facts.qid, facts.fact_no FROM facts JOIN ok USING (qid, fact_no) JOIN e ON e.qid = facts.qid AND coalesce(e.document_id, '') = ok.d WHERE len(list_filter({_meaningful('facts.description')}, lambda t: NOT contains(lower(coalesce(e.text, '')), t))) = 0),
-        k AS (SELECT facts.qid, count(*) AS facts, count(hd.fact_no) AS covered, (SELECT count(*) FROM e WHERE e.qid = facts.qid) AS n FROM facts LEFT JOIN hd USING (qid, fact_no) GROUP BY facts.qid),
-        kl AS (SELECT *, CASE WHEN covered = facts THEN 'sufficient' WHEN n = 0 THEN 'unanswerable' WHEN covered > 0 THEN 'useful_but_incomplete' ELSE 'insufficient' END AS label FROM k)
-        SELECT qid, facts, covered, round(covered / facts::DOUBLE, 6) AS score, label, label = 'sufficient' AS sufficient FROM kl""",
+    "context_evaluator": f"""WITH {_over_hybrid(_ranked(6))}, {_QUESTION_FACTS}, {_evaluated('e', 'k')} SELECT qid, facts, covered, round(covered / facts::DOUBLE, 6) AS score, label, label = 'sufficient' AS sufficient FROM k""",
     "citation_labels": f"WITH {_over_hybrid(_ranked(6))}, {_NAMED} SELECT qid, rank, '[' || concat_ws(', ', document_name, {_PAGE}, 'Chunk ' || chunk_id) || ']' AS label FROM b JOIN cn USING (chunk_id)",
     "evidence_with_pages": f"""WITH {_over_hybrid(_ranked(6))}, {_NAMED}, k AS (SELECT qid, string_agg('[' || concat_ws(', ', document_name, {_PAGE}) || ']: ' || coalesce(cn.text, ''), chr(10) || chr(10) ORDER BY rank) AS context FROM b JOIN cn USING (chunk_id) GROUP BY qid)
         SELECT qid, md5(context) AS context_md5, length(context) AS characters FROM k""",

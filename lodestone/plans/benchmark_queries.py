@@ -9,7 +9,7 @@ from lodestone.functions import text as T
 from lodestone.operators import contracts, judging, planning
 from lodestone.plans import sql as S
 from lodestone.plans.evidence_queries import _HELD, LOG, _meaningful, log, snippets
-from lodestone.plans.retrieval_queries import ASKED, FACTS, asked
+from lodestone.plans.retrieval_queries import FACTS, _lexical, asked, lexical_retrieval
 from lodestone.tables import table
 
 #: Words that are no required terms of a given fact, and the values that records may hold.
@@ -134,7 +134,15 @@ def answer_checks(spark: SparkSession, folder: str) -> DataFrame:
     return contracts.errors(rows, "key", checks).select(F.substring_index("key", ":", 1).alias("qid"), F.substring_index("key", ":", -1).alias("system"), "error")
 
 
-QUERIES = {f.__name__: f for f in (benchmark_judge, benchmark_judge_by_given_facts, benchmark_metrics, benchmark_breakdown, benchmark_checks, contract_checks, answer_checks)}
+def distractor_snippets(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each question's hits of lexical search: how many come from corpora that are kept to distract (those of tier C or without one)."""
+    corpora = table(spark, folder, "corpora").where("id is not null").dropDuplicates(["id"])
+    decoys = corpora.where(F.coalesce(F.try_element_at("metadata", F.lit("tier")), F.lit("C")) == "C").select(F.col("id").alias("corpus_id"), F.lit(True).alias("decoy"))
+    hits = lexical_retrieval(spark, folder).join(decoys, "corpus_id", "left")
+    return hits.groupBy("qid").agg(F.count("*").alias("hits"), F.count("decoy").alias("distracting"))
+
+
+QUERIES = {f.__name__: f for f in (distractor_snippets, benchmark_judge, benchmark_judge_by_given_facts, benchmark_metrics, benchmark_breakdown, benchmark_checks, contract_checks, answer_checks)}
 
 _BENCH = "bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id) AS copy FROM sufficiency_benchmark WHERE id IS NOT NULL) WHERE copy = 1)"
 _PLANNED = f"{_BENCH}, {FACTS.replace('FROM a WHERE', 'FROM (SELECT id AS qid, original_question AS question FROM bm) WHERE')}, pf AS (SELECT qid, fact_no, {_meaningful('description')} AS terms FROM facts)"
@@ -155,9 +163,9 @@ _CHECKED = {
     "bad_context_type": f"context_source_type = '{CONTEXT_TYPE}'", "bad_candidate_label": f"candidate_label IN {S.words_in(LABELS)}", "bad_gold_label": f"gold_label IN {S.words_in(GOLD_LABELS)}", "empty_original_question": "trim(original_question) <> ''", "empty_context": "trim(context) <> ''",
     "empty_rationale": "trim(rationale) <> ''", "empty_source_qa_answer": "trim(source_qa_answer) <> ''", "no_required_facts": "len(required_facts) > 0", "empty_required_fact": "len(list_filter(required_facts, lambda f: NOT coalesce(trim(f) <> '', FALSE))) = 0",
 }
-_ROUTED = "g AS (SELECT f.qid, f.fact_no, c.id AS corpus_id FROM facts f, corpora c)"
 
 SQL = {
+    "distractor_snippets": f"SELECT qid, count(*) AS hits, count(*) FILTER (corpus_id IN (SELECT id FROM corpora WHERE coalesce(map_extract(metadata, 'tier')[1], 'C') = 'C')) AS distracting FROM ({_lexical(True, False, True, 5)}) GROUP BY qid",
     "benchmark_judge": f"WITH {_PLANNED}, {_judge('pf', 'jp')} SELECT * FROM jp",
     "benchmark_judge_by_given_facts": f"WITH {_GIVEN}, {_judge('gf', 'jg')} SELECT * FROM jg",
     "benchmark_metrics": f"""WITH {_MODES}, m AS (SELECT mode, count(*) FILTER (p AND a) AS tp, count(*) FILTER (NOT p AND NOT a) AS tn, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (NOT p AND a) AS fn FROM (SELECT mode, predicted_label = 'SUFFICIENT' AS p, candidate_label = 'SUFFICIENT' AS a FROM jb) GROUP BY mode),

@@ -55,6 +55,13 @@ def _read(batches):
         yield pa.RecordBatch.from_pydict(rows, pa.schema([("document_id", pa.string()), ("document_name", pa.string()), ("source_path", pa.string()), ("page", pa.int32()), ("text", pa.string())]))
 
 
+def scan_document(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of one file, as ``scan_documents`` reads them; a file that is not there, or of another kind, is an error."""
+    if not re.search(r"\.(txt|md|pdf)$", path, re.I):
+        raise ValueError(f"unsupported kind of file: {path}")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_read, PAGES)
+
+
 def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of all .txt, .md and .pdf files below a folder: text files are one page, undecodable bytes are dropped, files and pages
     without text give no row. Other files are not read."""
@@ -90,3 +97,20 @@ def write_index(chunks: DataFrame, path: str) -> None:
     chunks.select("chunk_id", F.size(T.index_tokens(F.col("text"))).alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
     index.term_statistics(chunks).write.mode("overwrite").parquet(f"{path}/terms")
     index.embedded(chunks).write.mode("overwrite").parquet(f"{path}/vectors")
+
+
+def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of an index that ``write_index`` wrote, by name."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms", "vectors")}
+
+
+def local_index(documents: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
+    """Windows of characters as a searchable corpus: corpus_id (the document's name without its ending), document_id (of the window), text.
+
+    ``documents``: doc_id, document_name, text; a null name gives a null corpus, which no route leads to.
+    """
+    from lodestone.operators import chunking
+
+    named = documents.dropDuplicates(["doc_id"]).select("doc_id", F.regexp_replace("document_name", r"\.[^.]*$", "").alias("corpus_id"))
+    windows = chunking.character_chunks(documents, size, overlap).join(named, "doc_id")
+    return windows.select("corpus_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.concat(F.lit("chunk-"), F.col("chunk_number").cast("string"))).alias("document_id"), "text")

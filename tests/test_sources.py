@@ -83,3 +83,31 @@ def test_queries_match_their_sql(spark, name):
     theirs = con.execute(entry.oracle_sql()[name])
     place = [[d[0] for d in theirs.description].index(c) for c in columns]
     assert mine == sorted(plain([r[i] for i in place]) for r in theirs.fetchall())
+
+
+def test_one_file_and_the_index_read_back(spark, tmp_path):
+    (tmp_path / "a.MD").write_text("# Head")
+    assert [tuple(r) for r in files.scan_document(spark, str(tmp_path / "a.MD")).select("document_id", "text").collect()] == [("a", "# Head")]
+    with pytest.raises(ValueError):
+        files.scan_document(spark, str(tmp_path / "a.csv"))
+    with pytest.raises(Exception):
+        files.scan_document(spark, str(tmp_path / "none.txt")).collect()
+    files.write_index(spark.createDataFrame([("c", "river loan"), ("d", None)], "chunk_id string, text string"), str(tmp_path / "index"))
+    got = files.read_index(spark, str(tmp_path / "index"))
+    assert {r.term: r.df for r in got["terms"].collect()} == {"river": 1, "loan": 1} and got["lengths"].count() == 2 and got["vectors"].count() == 2
+    docs = spark.createDataFrame([(1, "a.b.txt", "x" * 900), (2, None, "short"), (3, "c.md", None)], "doc_id long, document_name string, text string")
+    assert sorted((r.corpus_id or "", r.document_id, len(r.text)) for r in files.local_index(docs).collect()) == [("", "2:chunk-1", 5), ("a.b", "1:chunk-1", 800), ("a.b", "1:chunk-2", 220)]
+
+
+def test_medians_and_fit_over_many_scores(spark):
+    from statistics import median
+
+    from lodestone.operators import metrics
+
+    values = {"a": [3.0, 1.0, 2.0, 2.0], "b": [5.0], "c": [1.0, 1e9, 2.0, -4.0, 7.0, 7.0], "d": []}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in [*vs, None]], "k string, v double")
+    for buckets in (1, 3, 4_096):
+        assert {r.k: r.median for r in metrics.medians(rows, "k", "v", buckets).collect()} == {k: median(v) for k, v in values.items() if v}
+    scores = spark.createDataFrame([(i / 20, (i * 7 % 10) / 10, i % 3 > 0) for i in range(20)], "sufficiency double, confidence double, correct boolean")
+    few, many = metrics.fit_selective(scores, epochs=4), metrics.fit_selective(scores, epochs=4, most=3)
+    assert all(abs(x - y) < 1e-9 for x, y in zip(few, many))
