@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,9 +72,8 @@ QUERIES = {f.__name__: f for f in (system_runs, system_runs_summary)}
 
 def _said(rows: str, judged: str, out: str) -> str:
     """CTEs from the evidence ``rows`` and the judgement to ``out`` (qid, answer): grounded answers where all is held."""
-    import re
-
-    own = re.sub(r"\b(z_a|z_b|z|g_a|g_b|g_c|g)\b", rf"{out}_\1", _grounded("ROWS")).replace("ROWS", rows)
+    # not the flags of regular expressions
+    own = re.sub(r"(?<!')\b(z_a|z_b|z|g_a|g_b|g_c|g)\b(?!')", rf"{out}_\1", _grounded("ROWS")).replace("ROWS", rows)
     return f"{own}, {out} AS (SELECT qid, answer FROM {out}_g WHERE qid IN (SELECT qid FROM {judged} WHERE label = 'sufficient'))"
 
 
