@@ -87,7 +87,7 @@ def assessment(text: Column) -> Column:
     number = lambda f: _sort(part(f)) == "number"
     status = F.lower(raw["status"])
     error = (
-        F.when(F.coalesce(kind(text), F.lit("")) != "object", "structured output must be a JSON object").when(~has("sufficiency_score") & ~has("confidence"), "ContextAssessment must include sufficiency_score or confidence")
+        F.when(F.coalesce(kind(text), F.lit("")) != "object", "not an object").when(~has("sufficiency_score") & ~has("confidence"), "neither sufficiency_score nor confidence")
         .when(has("sufficiency_score") & ~number("sufficiency_score"), "sufficiency_score must be a number").when(~has("sufficiency_score") & ~number("confidence"), "confidence must be a number")
         .when(~F.coalesce(status.isin(*STATUSES), F.lit(False)), "invalid status").otherwise("")
     )

@@ -75,4 +75,4 @@ def test_strict_and_older_readers(spark):
     old = ['{"status": "SUFFICIENT", "confidence": 0.7, "missing_facts": ["a"]}', '{"status": "insufficient", "sufficiency_score": 0.2, "confidence": 0.9}', '{"status": "maybe", "confidence": 1}', '{"status": "sufficient"}', '{"status": "sufficient", "confidence": "x"}', "[]", None, "{bad"]
     out = [r[0] for r in spark.createDataFrame([(t,) for t in old], "t string").select(structured.assessment(F.col("t"))).collect()]
     assert (out[0].status, out[0].score, out[0].missing_facts, out[0].error) == ("sufficient", 0.7, ["a"], "") and out[1].score == 0.2
-    assert [x.error for x in out[2:5]] == ["invalid status", "ContextAssessment must include sufficiency_score or confidence", "confidence must be a number"] and all(x.status is None and x.error for x in out[2:])
+    assert [x.error for x in out[2:5]] == ["invalid status", "neither sufficiency_score nor confidence", "confidence must be a number"] and all(x.status is None and x.error for x in out[2:])
