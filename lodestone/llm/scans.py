@@ -154,12 +154,14 @@ def tokens_of(body: DataFrame, *beside: str) -> DataFrame:
     rows = body.where(~F.col("line").rlike(_TABLE))
     # the halves of broken words: the last token of a line, and the first of the next
     start, end = F.when(F.coalesce(F.col("before").rlike(_BREAK), F.lit(False)), 1).otherwise(0), F.when(F.col("line").rlike(_BREAK), 1).otherwise(0)
-    lists = rows.select("page_id", "line_no", start.alias("start"), end.alias("end"), F.split(line, " ").alias("parts"), F.split(form, " ").alias("forms"))
+    # tokens that end a sentence, as a sign of their own
+    stops = F.split(F.regexp_replace(line, r"[^ ]*[.!?][\"'”’)]*(?= |$)", "\x02"), " ").alias("stops")
+    lists = rows.select("page_id", "line_no", start.alias("start"), end.alias("end"), F.split(line, " ").alias("parts"), F.split(form, " ").alias("forms"), *([stops] if beside else []))
     whole = lambda c: F.slice(c, F.col("start") + 1, F.greatest(F.lit(0), F.size("parts") - F.col("start") - F.col("end")))
-    lists = lists.select("page_id", "line_no", "start", whole("parts").alias("token"), whole("forms").alias("form"))
+    lists = lists.select("page_id", "line_no", "start", whole("parts").alias("token"), whole("forms").alias("form"), *([whole("stops").alias("stop")] if beside else []))
     # one struct a token, so that no row carries the whole line
-    inner = lambda f: F.regexp_replace(f, r"^\(", "")
-    ends = lambda i: F.coalesce(F.try_element_at("token", i), F.lit("")).rlike(r"[.!?][\"'”’)]*$")
+    inner = lambda f: F.ltrim(f, F.lit("("))
+    ends = lambda i: F.try_element_at("stop", i) == "\x02"
     beyond = lambda i, end: F.when(end, "").otherwise(inner(F.coalesce(F.try_element_at("form", i), F.lit(""))))
     sides = {
         "prev": F.transform("form", lambda f, i: F.when(i > 0, beyond(i, ends(i))).otherwise("")).alias("prev"),
